@@ -1,9 +1,10 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import mixing, token_files
+from . import mixing, packing, token_files
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_pack": packing.op2_pack,
     "op8_mix": mixing.op8_mix,
 }
 
