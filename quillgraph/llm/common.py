@@ -65,7 +65,7 @@ def whole_file(uri: str):
     """A file that appears under its name only when complete: a task that is run twice leaves one whole file."""
     fs, path = filesystem(uri)
     part = f"{path}.{uuid.uuid4().hex}.part"
-    with fs.open_output_stream(part) as out:
+    with fs.open_output_stream(part, compression=None) as out:
         yield out
     fs.move(part, path)
 

@@ -1,11 +1,15 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import mixing, packing, token_files
+from . import mixing, packing, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_pack": packing.op2_pack,
+    "op3_warc": warc.op3_warc,
     "op8_mix": mixing.op8_mix,
 }
 
-ORACLE_SQL = {"op8_mix": mixing.OP8_SQL}
+ORACLE_SQL = {
+    "op3_warc": warc.OP3_SQL,
+    "op8_mix": mixing.OP8_SQL,
+}
