@@ -1,0 +1,45 @@
+"""Connected components of a link table, by alternating large and small stars.
+
+Every round keeps the number of links at most as large, cuts its lineage by a written table, and
+halves the depth of what is left; the end is reached when every link leads to its component's
+smallest node. Nothing is gathered in one task but a node's smallest neighbour, which is
+pre-aggregated; the joins' heavy sides are plain exchanges that adaptive execution can split.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """links(a, b) with a > b. Large star: each node's larger neighbours move to its smallest neighbour (or itself);
+    small star: a node's smaller neighbours, and itself, move to the smallest of them."""
+    sides = links.select(F.col("a").alias("u"), F.col("b").alias("v"))
+    if large:
+        sides = sides.unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = sides.groupBy("u").agg(F.min("v").alias("m"))
+    least = least.select("u", F.least("u", "m").alias("m") if large else "m")
+    joined = sides.join(least, "u")
+    if large:
+        moved = joined.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
+    else:
+        moved = joined.where("v > m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return moved.where("a > b").distinct()
+
+
+def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """links(a, b) -> (node, component): the smallest node reachable, a row a node that has a link to another."""
+    ordered = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b").distinct()
+    current, mark = materialize(ordered, "links"), None
+    for _ in range(most_rounds):
+        now = current.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0]
+        if now[0] == 0 or tuple(now) == mark:
+            break
+        mark = tuple(now)
+        current = materialize(_star(materialize(_star(current, True), "links"), False), "links")
+    else:
+        raise RuntimeError("components did not settle")
+    return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -1,11 +1,12 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import media, mixing, packing, token_files, warc
+from . import media, mixing, packing, simhash, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_pack": packing.op2_pack,
     "op3_warc": warc.op3_warc,
+    "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
     "op9_media": media.op9_media,
 }
