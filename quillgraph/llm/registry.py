@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import media, mixing, packing, simhash, token_files, warc
+from . import media, mixing, packing, simhash, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -9,6 +9,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
     "op9_media": media.op9_media,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
