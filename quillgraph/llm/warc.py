@@ -7,7 +7,7 @@ response; the others are revisit records that refer to it. A revisit record hold
 (with the payload's Content-Length) but no payload.
 
 The dictionary is trained on the driver from a bounded sample of pages: the ``SAMPLE_ROWS`` with the
-smallest hash of the page_id among those of at most ``SAMPLE_CHARS`` characters. Only compression depends on it.
+smallest hash among those of at most ``SAMPLE_CHARS`` characters. Only compression depends on it.
 
 Nulls: a null html is the empty payload; a null page_id ranks below all others and is written as
 "null"; a null url as an empty target. Repeated rows (equal page_id and payload): one of them is the
@@ -38,8 +38,10 @@ def train_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICT
     """A trained dictionary, or the plain text of the sample where it is too small to train on."""
     import zstandard
 
-    sample = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("page_id", "html")
-    sample = sample.orderBy(F.xxhash64("page_id"), "html").limit(rows).collect()
+    fit = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("page_id", "html").alias("h"))
+    # the hashes first, so that no task sends more than those and no more than ``rows`` payloads reach the driver
+    last = fit.select("h").orderBy("h").limit(rows).agg(F.max("h")).collect()[0][0]
+    sample = fit.where(F.col("h") <= F.lit(last)).orderBy("h").limit(rows).collect() if last is not None else []
     texts = [_http(len(p := r["html"].encode())) + p for r in sample]
     try:
         return zstandard.train_dictionary(size, texts, k=512, d=8).as_bytes()
