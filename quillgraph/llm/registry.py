@@ -1,6 +1,6 @@
 """The queries of this subpackage, and their SQL where SQL can express them."""
 
-from . import media, mixing, packing, quality, simhash, substring, token_files, toxicity, warc
+from . import media, mixing, packing, quality, secrets, simhash, substring, token_files, toxicity, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -8,6 +8,7 @@ QUERIES = {
     "op3_warc": warc.op3_warc,
     "op4_quality": quality.op4_quality,
     "op5_substring": substring.op5_substring,
+    "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_mix": mixing.op8_mix,
     "op9_media": media.op9_media,
