@@ -48,12 +48,13 @@ def targets(sources: DataFrame, weights=WEIGHTS, most_repeats: int = 3) -> DataF
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3, share: float = 1.0) -> DataFrame:
-    """documents(doc_id, text, source) -> doc_id, size, source_size, target, taken (a row a document).
+    """documents(doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, source (a row a document).
 
-    ``share``: the budget as a part of all words.
+    ``share``: the budget as a part of all words. A column mix_row of docs, if there, goes along.
     """
+    along = [c for c in docs.columns if c == "mix_row"]
     order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sized = docs.select("doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_key(F.col("source")), order_key.alias("u"))
+    sized = docs.select("doc_id", *along, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_key(F.col("source")), order_key.alias("u"))
     # ties (repeated doc_ids) are parted by a row number below, so every row has a place of its own
     sized = materialize(sized.withColumn("bucket", F.conv(F.substring("u", 1, 3), 16, 10).cast("int")), "mix-sizes")
     queue = ["no_source", "source_key"]
@@ -65,7 +66,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3, share: float =
     inside = Window.partitionBy(*queue, "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = sized.withColumn("inside", F.sum("size").over(inside)).withColumn("n", F.row_number().over(inside)).join(bases, [*queue, "bucket"])
     upto = (F.col("base") + F.col("inside")).cast("double")
-    placed = materialize(placed.select("doc_id", "size", "source_size", "target", "u", "n", *queue, upto.alias("upto")), "mix-placed")
+    placed = materialize(placed.select("doc_id", *along, "size", "source_size", "target", "u", "n", *queue, upto.alias("upto")), "mix-placed")
 
     def finish(epoch: Column) -> Column:
         return (F.col("upto") + epoch * F.col("source_size")) / F.col("target")
@@ -94,7 +95,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3, share: float =
             take = take | ((at == last) & upto_mark)
         taken = taken + F.when(F.coalesce(take, F.lit(False)) & (F.col("target") > 0), F.col("size")).otherwise(0)
     source = F.when(~F.col("no_source"), F.col("source_key"))
-    return placed.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), source.alias("source"))
+    return placed.select("doc_id", *along, "size", "source_size", "target", taken.cast("long").alias("taken"), source.alias("source"))
+
+
+def take(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3) -> DataFrame:
+    """The mix itself: each document as often as it is taken, with its columns.
+
+    docs must be rows of files (a row's number is its place in them, alike in every scan).
+    """
+    numbered = docs.withColumn("mix_row", F.monotonically_increasing_id())
+    taken = mix(numbered, weights, most_repeats).where("taken > 0").select("mix_row", (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"))
+    copies = numbered.join(taken, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    return copies.select(*docs.columns)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

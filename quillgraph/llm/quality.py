@@ -25,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import filesystem, materialize, pylist, rows_of, shared_dir, table, text_rows
+from .common import filesystem, materialize, pylist, rows_of, shared_dir, small_batches, table, text_rows
 
 ORDER = 5
 FENCE, CLASS_ROWS, BIN = 4.0, 100, 0.001
@@ -198,33 +199,42 @@ def bits(raw: bytes, model: list[tuple[np.ndarray, ...]]) -> float:
     return total
 
 
-def measure(docs: DataFrame, folder: str) -> DataFrame:
-    """documents(doc_id, text, lang) -> doc_id, lang, fingerprint of the text, the rules' counts, bits per byte."""
-    schema = "doc_id long, lang string, text_hash long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, bits double"
+#: Columns that measure() adds, and the names they have in op4's result.
+MEASURES = {"quality_n_words": "n_words", "quality_word_chars": "word_chars", "quality_n_symbols": "n_symbols", "quality_n_dup_lines": "n_dup_lines", "quality_n_repeat_words": "n_repeat_words", "quality_bits": "bits"}
+
+
+def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
+    """documents(text, lang, ...) -> the columns ``keep`` as they are, quality_lang, and MEASURES."""
+    small_batches(docs.sparkSession)
+    kept = docs.select(*keep, F.col("text").alias("quality_text"), F.coalesce("lang", F.lit("")).alias("quality_lang"))
+    schema = T.StructType([*kept.drop("quality_text").schema.fields, *[T.StructField(x, T.DoubleType() if x == "quality_bits" else T.LongType()) for x in MEASURES]])
+    names = [f.name for f in schema.fields]
 
     def look(batches):
         for batch in batches:
-            for part in rows_of(batch, 8 << 20):
-                texts, langs = pylist(part, "text"), pylist(part, "lang")
-                rows = [base(x) for x in texts]
+            for part in rows_of(batch, 8 << 20, "quality_text"):
+                texts = [x or "" for x in pylist(part, "quality_text")]
                 rate = []
-                for text, lang in zip(texts, langs):
+                for text, lang in zip(texts, pylist(part, "quality_lang")):
                     raw = text.encode()
-                    rate.append(bits(raw, _arrays(folder, lang or "")) / len(raw) if raw else None)
-                counts = [pa.array(c, pa.int64()) for c in zip(*rows)]
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(langs, pa.string()), part.column(part.schema.get_field_index("text_hash")), *counts, pa.array(rate, pa.float64())], [x.split()[0] for x in schema.split(", ")])
+                    rate.append(bits(raw, _arrays(folder, lang)) / len(raw) if raw else None)
+                counts = [pa.array(c, pa.int64()) for c in zip(*map(base, texts))]
+                part = part.drop_columns(["quality_text"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *counts, pa.array(rate, pa.float64())], names)
 
-    return text_rows(docs.withColumn("text_hash", F.xxhash64("text")), "doc_id", "text", "lang", "text_hash").mapInArrow(look, schema)
+    return kept.mapInArrow(look, schema)
 
 
-def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
-    """documents(doc_id, text, lang) -> doc_id, text_hash, the counts, bits, base_failed, kept."""
+def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
+    """documents(text, lang, ...) -> the columns ``keep``, quality_lang, MEASURES, quality_base_failed, quality_kept."""
     folder = shared_dir(docs.sparkSession, "model")
     build_model(docs, folder)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    rows = materialize(measure(docs, folder).withColumn("base_failed", failed), "quality")
-    rows = rows.withColumn("l", F.coalesce("lang", F.lit(""))).withColumn("size_class", F.floor(F.log2(F.greatest("n_words", F.lit(1)))).cast("int"))
-    bins = rows.where("not base_failed and bits > 0").groupBy("l", "size_class", F.floor(F.log("bits") / BIN).alias("bin")).agg(F.count("*").alias("n"))
+    words = F.col("quality_n_words")
+    failed = (words < LEAST_WORDS) | (100 * F.col("quality_n_repeat_words") > MOST_REPEATED * words)
+    rows = materialize(measure(docs, folder, keep).withColumn("quality_base_failed", failed), "quality")
+    rows = rows.withColumn("quality_class", F.floor(F.log2(F.greatest(words, F.lit(1)))).cast("int"))
+    by = ["quality_lang", "quality_class"]
+    bins = rows.where("not quality_base_failed and quality_bits > 0").groupBy(*by, F.floor(F.log("quality_bits") / BIN).alias("bin")).agg(F.count("*").alias("n"))
     bins = materialize(bins, "bins")
 
     def quartiles(t: DataFrame, *by: str) -> DataFrame:
@@ -233,16 +243,22 @@ def judge(docs: DataFrame, fence: float = FENCE) -> DataFrame:
         t = t.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("all", F.sum("n").over(whole))
         return t.groupBy(*by).agg(F.max("all").alias("n"), *[F.min(F.when(F.col("upto") >= q * F.col("all"), F.col("bin") * BIN)).alias(name) for q, name in ((0.25, "q1"), (0.75, "q3"))])
 
-    classes = quartiles(bins, "l", "size_class").where(F.col("n") >= CLASS_ROWS).select("l", "size_class", F.col("q1").alias("c1"), F.col("q3").alias("c3"))
-    langs = quartiles(bins, "l").drop("n")
+    classes = quartiles(bins, *by).where(F.col("n") >= CLASS_ROWS).select(*by, F.struct("q1", "q3").alias("quality_own"))
+    langs = quartiles(bins, "quality_lang").select("quality_lang", F.struct("q1", "q3").alias("quality_all"))
     # a row a language and length class
-    rows = rows.join(F.broadcast(langs), "l", "left").join(F.broadcast(classes), ["l", "size_class"], "left")
-    q1, q3 = F.coalesce("c1", "q1"), F.coalesce("c3", "q3")
-    width = F.greatest(q3 - q1, F.lit(BIN)) * fence
-    value = F.log("bits")
-    inside = (value >= q1 - width) & (value <= q3 + width)
-    return rows.select("doc_id", "lang", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "bits", "base_failed", (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"))
+    rows = rows.join(F.broadcast(langs), "quality_lang", "left").join(F.broadcast(classes), by, "left")
+    band = F.coalesce("quality_own", "quality_all")
+    width = F.greatest(band["q3"] - band["q1"], F.lit(BIN)) * fence
+    value = F.log("quality_bits")
+    inside = (value >= band["q1"] - width) & (value <= band["q3"] + width)
+    return rows.select(*keep, "quality_lang", *MEASURES, "quality_base_failed", (~F.col("quality_base_failed") & F.coalesce(inside, F.lit(False))).alias("quality_kept"))
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """The documents that are kept, with their columns."""
+    return judge(docs, docs.columns).where("quality_kept").select(*docs.columns)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "documents")).drop("lang", "text_hash")
+    judged = judge(table(spark, sf_dir, "documents"), ["doc_id"])
+    return judged.select("doc_id", *[F.col(a).alias(b) for a, b in MEASURES.items()], F.col("quality_base_failed").alias("base_failed"), F.col("quality_kept").alias("kept"))

@@ -55,15 +55,15 @@ def fingerprint(text: str, words: int = WORDS, seed: int = SEED) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, fp (64 bits in a long)."""
+    """documents(doc_id, text, row) -> doc_id, row, fp (64 bits in a long)."""
 
     def make(batches):
         for batch in batches:
             for part in rows_of(batch):
                 fps = np.array([fingerprint(x, words, seed) for x in pylist(part, "text")], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index("doc_id")), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+                yield part.drop_columns(["text"]).append_column("fp", pa.array(fps.view(np.int64)))
 
-    return text_rows(docs, "doc_id", "text").mapInArrow(make, "doc_id long, fp long")
+    return text_rows(docs, "doc_id", "row", "text").mapInArrow(make, "doc_id long, row long, fp long")
 
 
 class BKTree:
@@ -166,14 +166,29 @@ def _links(rows: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """documents(doc_id, text) -> doc_id, fp, component_id (the smallest doc_id reachable)."""
+    """documents(doc_id, text) -> doc_id, row, fp, component_id (the smallest doc_id reachable).
+
+    ``row`` numbers the rows of docs: as they are if docs has such a column, else by their place.
+    """
+    docs = docs if "row" in docs.columns else docs.withColumn("row", F.monotonically_increasing_id())
     fps = materialize(fingerprints(docs), "simhash-fps")
     values = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-values")
     groups = components(links(values.select("fp"), radius))
     grouped = values.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = materialize(grouped.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-least")
-    named = materialize(grouped.join(least, "component").select("fp", "component_id"), "simhash-named")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = materialize(grouped.join(least, "component").select("fp", "component", "component_id"), "simhash-named")
+    return fps.join(named, "fp").select("doc_id", "row", "fp", "component", "component_id")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One document of each group, with its columns: that with the smallest doc_id, then the first row.
+
+    docs must be rows of files (a row's number is its place in them, alike in every scan).
+    """
+    numbered = docs.withColumn("near_row", F.monotonically_increasing_id())
+    found = near_duplicates(numbered.select("doc_id", "text", F.col("near_row").alias("row")), radius)
+    least = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "row")).alias("least"))
+    return numbered.join(least.select(F.col("least.row").alias("near_row")), "near_row", "left_semi").select(*docs.columns)
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
