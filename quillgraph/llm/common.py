@@ -47,10 +47,18 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
-    """Only the named columns, nulls of ``text`` read as the empty text."""
+    """Only the named columns, nulls of ``text`` read as the empty text; for operators that hand texts to Python."""
+    small_batches(docs.sparkSession)
     return docs.select(*[F.coalesce(F.col("text"), F.lit("")).alias("text") if c == "text" else F.col(c) for c in columns])
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """At most so many rows in an Arrow batch: texts are long, and a Python worker holds a batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 

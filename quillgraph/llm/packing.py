@@ -25,7 +25,7 @@ from .common import materialize, pylist, rows_of, table, text_rows
 from .tokens import encoder
 
 #: Tails of a block.
-BLOCK = 2048
+BLOCK = 1024
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long"
 
 
@@ -34,37 +34,38 @@ def difference(lengths: list[int], windows: int) -> list[list[int]]:
 
     A partial partition is its non-empty windows, fullest first; all others are empty.
     """
-    heap = []
-    for i, x in enumerate(lengths):
-        heap.append((-x, i, [(x, (i,))]))
+    # a window is one number: its sum, then the number of a node; nodes from len(lengths) on join two others
+    n, joins = len(lengths), []
+    bits = 24
+    mask = (1 << bits) - 1
+    heap = [(-x, i, [x << bits | i]) for i, x in enumerate(lengths)]
     heapq.heapify(heap)
-    tick = len(lengths)
+    tick = n
     while len(heap) > 1:
         _, _, a = heapq.heappop(heap)
         _, _, b = heapq.heappop(heap)
         if (over := len(a) + len(b) - windows) > 0:
-            # the fullest windows of a lie on empty ones of b; the last `over` of a meet the last of b, opposed
-            keep, meet = a[: len(a) - over], a[len(a) - over :]
-            free, other = b[: len(b) - over], b[len(b) - over :]
-            merged = keep + free + [(x + y, (p, q)) for (x, p), (y, q) in zip(meet, reversed(other))]
+            # the fullest windows of either lie on empty ones of the other; the last `over` of a meet those of b, opposed
+            at = n + len(joins)
+            meet, other = a[len(a) - over :], b[len(b) - over :][::-1]
+            joins += [(x & mask, y & mask) for x, y in zip(meet, other)]
+            a = a[: len(a) - over] + b[: len(b) - over] + [((x >> bits) + (y >> bits)) << bits | k for k, (x, y) in enumerate(zip(meet, other), at)]
         else:
-            merged = a + b
-        merged.sort(key=lambda w: -w[0])
-        spread = merged[0][0] - (merged[-1][0] if len(merged) == windows else 0)
-        heapq.heappush(heap, (-spread, tick, merged))
+            a = a + b
+        a.sort(reverse=True)
+        heapq.heappush(heap, (-((a[0] >> bits) - ((a[-1] >> bits) if len(a) == windows else 0)), tick, a))
         tick += 1
 
-    def members(tree) -> list[int]:
-        out, todo = [], [tree]
+    def members(node: int) -> list[int]:
+        out, todo = [], [node]
         while todo:
-            x = todo.pop()
-            if isinstance(x, tuple):
-                todo.extend(x)
+            if (x := todo.pop()) >= n:
+                todo.extend(joins[x - n])
             else:
                 out.append(x)
-        return out
+        return sorted(out)
 
-    return [sorted(members(tree)) for _, tree in heap[0][2]] if heap else []
+    return [members(x & mask) for x in heap[0][2]] if heap else []
 
 
 def pack(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -113,7 +114,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         number, tails, out = TaskContext.get().partitionId() << 32, [], []
         held = 0
         for batch in batches:
-            for part in rows_of(batch, 8 << 20):
+            for part in rows_of(batch, 6 << 20):
                 for doc_id, raw in zip(pylist(part, "doc_id"), enc.encode(pylist(part, "text"))):
                     raw = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
                     total = len(raw) // 4
@@ -128,7 +129,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
                         made, number = _block(tails, capacity, number)
                         yield made
                         tails = []
-                    if held > 16 << 20 and out:
+                    if held > 8 << 20 and out:
                         yield _batch(out)
                         out, held = [], 0
         if out:

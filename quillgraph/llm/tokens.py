@@ -13,16 +13,27 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Cached pieces; about 150 MB.
 CACHE = 500_000
-_BEFORE_SPACE = re.compile(r"(?<=\S) ")
-_SPACES = re.compile(r"\s ")
+_ODD = re.compile(r"[^\S\n ]|\x00|.\n", re.S).search
+#: Runs of these at the end of a word are a pre-token of their own.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _MARK = "\x01"
+#: Words that a tokenizer's pattern never cuts and its normalizer leaves alone: letters of Latin-1 (lower case).
+_LETTERS = re.compile("[A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff]+").fullmatch
+_LOWER = re.compile("[a-z\xdf-\xf6\xf8-\xff]+").fullmatch
 
 
 class Encoder:
-    """encode(texts) -> for each text the little-endian ids as bytes, of self.dtype."""
+    """encode(texts) -> for each text the little-endian ids as bytes, of self.dtype.
+
+    In the pieces of a byte-level tokenizer a word stands for itself after a space, one
+    after "\\n" for a line's first word with the line break, and one after NUL for itself. Texts with other or
+    repeated white space are encoded by the library as they are.
+    """
 
     def __init__(self, path: str, cache: int = CACHE):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -35,80 +46,166 @@ class Encoder:
         spec = json.loads(self.tokenizer.to_str())
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
+        self.known: dict[str, bytes] = {}
+        self.most, self.lacked, self.odd = cache, set(), False
         if pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and norm is None:
-            self.cut = self._cut_before_spaces
-        elif steps == ["NFC", "Replace", "Lowercase"] and (spec["model"].get("end_of_word_suffix") and pre["pretokenizers"][0]["behavior"] == "Removed"):
-            self.cut = self._cut_words
-        else:
-            self.cut = lambda text: [text]
-        self.known: dict[str | bytes, bytes] = {}
-        self.most = cache
-        self.mark, self.spaced = None, None
-        if self.cut == self._cut_words and len(mark := np.frombuffer(self._ids([_MARK])[0], self.dtype)) == 1:
-            self.mark = mark[0]
-        elif self.cut == self._cut_before_spaces:
+            self.cut, self.learn, self.odd = self._cut_bytes, self._learn_bytes, True
             self.spaced = np.zeros(size, bool)
             self.spaced[[i for x, i in self.tokenizer.get_vocab().items() if x[0] == "\u0120"]] = True
-
-    def _cut_before_spaces(self, text: str) -> list[str]:
-        """Every pre-token ends before a space that follows a character other than white space."""
-        if " " not in text:
-            return [text]
-        parts = _BEFORE_SPACE.split(text) if _SPACES.search(text) or text[0] == " " else text.split(" ")
-        out = [" " + x for x in parts]
-        out[0] = parts[0]
+            self.breaks = np.arange(size) == self._one("\n")
+            self.slim = self._slim(path, "merged_with_next")
+        elif steps == ["NFC", "Replace", "Lowercase"] and spec["model"].get("end_of_word_suffix") and pre["pretokenizers"][0]["behavior"] == "Removed":
+            self.cut, self.learn = self._cut_words, self._learn_words
+            self.marks = np.arange(size) == self._one(_MARK)
+            self.slim = self._slim(path, "removed")
+            self.ends = np.zeros(size, bool)
+            self.ends[[i for x, i in self.tokenizer.get_vocab().items() if x.endswith(spec["model"]["end_of_word_suffix"])]] = True
+        else:
+            self.cut = None
+
+    @staticmethod
+    def _slim(path: str, behavior: str):
+        """The tokenizer without the steps that leave plain words as they are."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        slim = Tokenizer.from_file(path)
+        slim.normalizer = None
+        slim.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(" ", behavior), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False, trim_offsets=False)])
+        slim.model._resize_cache(0)  # every word that comes here is new
+        return slim
+
+    def _plain(self, words: list[str], sep: str, first: bool, starts: bool) -> dict[str, bytes]:
+        """Encodes plain words by the slim tokenizer; words begin (or end) at the ids that say so."""
+        out, width, flags = {}, self.dtype.itemsize, self.spaced if starts else self.ends
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.array(self.slim.encode_batch_fast([sep * first + sep.join(some)], add_special_tokens=False)[0].ids, self.dtype)
+            at = np.flatnonzero(flags[ids]) + (not starts)
+            cuts = (at * width).tolist()
+            cuts = [*cuts, len(ids) * width] if starts else [0, *cuts]
+            if len(cuts) != len(some) + 1:
+                raise ValueError("the tokenizer does not keep words apart")
+            raw = ids.tobytes()
+            out.update(zip(some, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
         return out
 
-    def _cut_words(self, text: str) -> list[bytes]:
-        """White space only separates words, and ASCII letters are lower-cased anyway."""
-        return text.encode().lower().split()
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-
-    def _learn(self, new: list) -> dict:
-        """Pieces are encoded many at a time: a call for each costs more than the encoding. Words are parted by
-        a mark; pieces that begin with their only space are parted by the tokens that begin with a space."""
-        if len(new) < 8 or (self.mark is None and self.spaced is None):
-            return dict(zip(new, self._ids([x.decode() if isinstance(x, bytes) else x for x in new])))
-        out, plain, width = {}, [], self.dtype.itemsize
-        if self.mark is not None:
-            plain = [x for x in new if b"\x01" not in x and len(x) <= 200]
-        else:
-            plain = [x for x in new if x[:1] == " " and x.count(" ") == 1 and len(x) <= 200]
-        if rest := list(set(new).difference(plain)):
-            out |= zip(rest, self._ids([x.decode() if isinstance(x, bytes) else x for x in rest]))
-        for i in range(0, len(plain), 512):
-            some = plain[i : i + 512]
-            if self.mark is not None:
-                some = [x.decode() for x in some]
-                ids = np.frombuffer(self._ids([f" {_MARK} ".join(some)])[0], self.dtype)
-                at = np.flatnonzero(ids == self.mark)
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _one(self, text: str) -> int:
+        ids = np.frombuffer(self._ids([text])[0], self.dtype)
+        return int(ids[0]) if len(ids) == 1 else -1
+
+    def _many(self, words: list[str], sep: str, first: bool, parts: np.ndarray) -> dict[str, bytes]:
+        """Encodes words joined by sep (``first``: also before the first), parted at the ids marked in ``parts``:
+        a call for each word would cost more than its encoding. sep's own ids belong to a word only if ``first``."""
+        out, width = {}, self.dtype.itemsize
+        for i in range(0, len(words), 512):
+            some = words[i : i + 512]
+            ids = np.frombuffer(self._ids([sep * first + sep.join(some)])[0], self.dtype)
+            at = np.flatnonzero(parts[ids])
+            if first:
+                starts, ends, good = at.tolist(), [*at[1:].tolist(), len(ids)], len(at) == len(some)
+            else:
                 starts, ends, good = [0, *(at + 1).tolist()], [*at.tolist(), len(ids)], len(at) == len(some) - 1
+            if good:
+                raw = ids.tobytes()
+                out |= {x: raw[a * width : b * width] for x, a, b in zip(some, starts, ends)}
             else:
-                ids = np.frombuffer(self._ids(["".join(some)])[0], self.dtype)
-                at = np.flatnonzero(self.spaced[ids])
-                starts, ends, good = at.tolist(), [*at[1:].tolist(), len(ids)], len(at) == len(some) and at[0] == 0
-            if not good:
-                out |= zip(plain[i : i + 512], self._ids(some))
-                continue
-            raw = ids.tobytes()
-            out |= {x: raw[a * width : b * width] for x, a, b in zip(plain[i : i + 512], starts, ends)}
+                out |= zip(some, self._ids([sep * first + x for x in some]))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.cut(x) for x in texts]
-        new = list(set().union(*cut).difference(self.known))
-        got = self._learn(new)
-        if len(self.known) + len(got) <= self.most:
-            self.known |= got
-            find = self.known.__getitem__
-            return [b"".join(map(find, x)) for x in cut]
+    def _cut_bytes(self, texts: pa.Array) -> pa.Array:
+        """Every pre-token ends before a space that follows a character other than white space, and a lone line
+        break between other characters is a pre-token."""
+        lines = pc.replace_substring(texts, "\n", " \n")
+        return pc.split_pattern(pc.binary_join_element_wise(*[pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("\0", lines, "")]), " ")
+
+    def _odd(self, new: set[str]) -> set[str]:
+        """Pieces that tell of white space that does not stand alone, or of other white space. They are never kept."""
+        return {x for x in new if not x or x == "\n" or _ODD(x[1:]) or (x[0].isspace() and x[0] != "\n")}
+
+    def _cut_words(self, texts: pa.Array) -> pa.Array:
+        """White space only parts words, and ASCII letters are lower-cased anyway."""
+        return pc.ascii_split_whitespace(pc.ascii_lower(texts))
+
+    @staticmethod
+    def _cores(words: list[str]) -> dict[str, str]:
+        """Words whose end is punctuation that is parted from the rest whatever stands before -> the rest."""
+        return {x: c for x, c in zip(words, [x.rstrip(_TAIL) for x in words]) if len(c) != len(x) and c[-1:].isalpha()}
+
+    def _learn_bytes(self, new: list[str]) -> dict[str, bytes]:
+        lead, after = [], []
+        for x in new:
+            (lead if x[0] in "\0\n" else after).append(x)
+        cores = self._cores(after)
+        plain = {x[1:] for x in lead}.union(x[len(c) :] for x, c in cores.items())
+        got = {x: y for x in plain if (y := self.known.get("\0" + x)) is not None} | {"": b""}
+        fresh = [x for x in plain if x not in got]
+        got |= self._many(fresh, "\n", False, self.breaks)
+        body = set(after).difference(cores).union(cores.values()).difference(self.known)
+        letters = [x for x in body if _LETTERS(x)]
+        body = self._many(list(body.difference(letters)), " ", True, self.spaced)
+        body.update(self._plain(letters, " ", True, True))
+        self._keep(body | {"\0" + x: got[x] for x in fresh})
+        known, line = self.known, self._ids(["\n"])[0]
+        out = {x: (body[c] if c in body else known[c]) + got[x[len(c) :]] for x, c in cores.items()}
+        out.update((x, (line if x[0] == "\n" else b"") + got[x[1:]]) for x in lead)
+        body.update(out)
+        return body
+
+    def _learn_words(self, new: list[str]) -> dict[str, bytes]:
+        cores = self._cores(new)
+        need = set(new).difference(cores).union(cores.values(), (x[len(c) :] for x, c in cores.items())).difference(self.known)
+        letters = [x for x in need if _LOWER(x)]
+        rest = need.difference(letters)
+        marked = [x for x in rest if _MARK in x or not x]
+        body = self._many(list(rest.difference(marked)), f" {_MARK} ", False, self.marks)
+        body.update(zip(marked, self._ids(marked)))
+        body.update(self._plain(letters, " ", False, False))
+        self._keep(body)
+        known = self.known
+        find = lambda c: body[c] if c in body else known[c]
+        body.update([(x, find(c) + find(x[len(c) :])) for x, c in cores.items()])
+        return body
+
+    def _keep(self, got: dict) -> None:
+        """Keeps the pieces that the batch before lacked as well: most pieces that are new never come again."""
+        again = self.lacked.intersection(got)
+        self.lacked = set(got)
         room = self.most - len(self.known)
-        if room > 0:
-            self.known |= {x: got[x] for x in new[:room]}
+        self.known.update((x, got[x]) for x in (again if room >= len(again) else list(again)[:room]))
+
+    def encode(self, texts) -> list[bytes]:
+        """The pieces are made and numbered by Arrow; Python sees each piece of a batch once."""
+        texts = pa.array(texts, pa.large_string())
+        if self.cut is None:
+            return self._ids(texts.to_pylist())
+        pieces = self.cut(texts)
+        ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
+        coded = pieces.flatten().dictionary_encode()
+        unique, at = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        new = set(unique).difference(self.known)
+        odd = self._odd(new) if self.odd else set()
+        got = self.learn(list(new.difference(odd)))
         known = self.known
-        return [b"".join([known[y] if y in known else got[y] for y in x]) for x in cut]
+        ids = [got[x] if x in got else b"" if x in odd else known[x] for x in unique]
+        width = self.dtype.itemsize
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        flat = np.frombuffer(b"".join(ids), self.dtype)
+        own = sizes[at]
+        stops = np.cumsum(own)
+        total = int(stops[-1]) if len(stops) else 0
+        shift = (np.cumsum(sizes) - sizes)[at] - (stops - own)
+        raw = flat[np.repeat(shift, own) + np.arange(total)].tobytes() if total else b""
+        bounds = (np.concatenate([[0], stops])[ends] * width).tolist()
+        out = [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        if odd:
+            strange = np.fromiter((x in odd for x in unique), bool, len(unique))[at]
+            seen = np.concatenate([[0], np.cumsum(strange)])[ends]
+            for i in np.flatnonzero(np.diff(seen)).tolist():
+                out[i] = self._ids([texts[i].as_py()])[0]
+        return out
 
 
 @functools.lru_cache(maxsize=2)
