@@ -178,24 +178,31 @@ def rounds(spark, undirected: DataFrame, chances: DataFrame, vertices: int, walk
 def weighted_walk(walkers: DataFrame, edges: DataFrame, length: int, second_order: bool = False, salt: int = 7) -> DataFrame:
     """Fixed-length walks by edge weight: round, walker, step, vertex.
 
-    A walker takes the first neighbour (by dst) whose running weight passes a uniform share of the whole. Second order: edges count alike, but
-    the one back to the vertex before counts twice. A walker without neighbours stays out of later steps.
+    A walker takes the first neighbour (by dst) whose running weight passes a uniform share of the whole. Second order:
+    neighbours are distinct and count alike, but the one it came from counts twice. A walker without neighbours stays out of later steps.
+    Running weights are made once a vertex; a step is one join and a search in an array.
     """
-    weight = F.lit(1.0) if second_order else F.col("w").cast("double")
-    lists = materialize(edges.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", weight.alias("w")))).alias("nbrs")), "adjacency")
+    if second_order:
+        lists = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
+    else:
+        order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+        rows = edges.select("src", "dst", F.sum(F.col("w").cast("double")).over(order).alias("upto"))
+        lists = rows.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "upto"))).alias("n")).select("src", F.col("n.dst").alias("dsts"), F.col("n.upto").alias("uptos"))
+    lists = materialize(lists, "adjacency")
     now = walkers.select("round", "walker", "cur", F.lit(None).cast("long").alias("prev"))
     out = now.select("round", "walker", F.lit(0).alias("step"), F.col("cur").alias("vertex"))
     for k in range(length):
+        share = uniform(salt, F.col("round"), F.col("walker"), k, "w")
         met = now.join(lists, now["cur"] == lists["src"])
         if second_order:
-            met = met.withColumn("nbrs", F.transform("nbrs", lambda x: F.struct(x["dst"].alias("dst"), F.when(x["dst"] == F.col("prev"), 2.0).otherwise(1.0).alias("w"))))
-        whole = F.aggregate("nbrs", F.lit(0.0), lambda acc, x: acc + x["w"])
-        goal = uniform(salt, F.col("round"), F.col("walker"), k, "w") * whole
-        met = met.withColumn("goal", goal)
-        start = F.struct(F.lit(0.0).alias("upto"), F.lit(None).cast("long").alias("dst"))
-        picked = F.aggregate("nbrs", start, lambda acc, x: F.when(acc["dst"].isNotNull() & (acc["upto"] > F.col("goal")), acc).otherwise(F.struct((acc["upto"] + x["w"]).alias("upto"), x["dst"].alias("dst"))))
-        now = met.select("round", "walker", picked["dst"].alias("nxt"), F.col("cur").alias("prev")).withColumnRenamed("nxt", "cur")
-        if k % 4 == 3:
-            now = materialize(now, "walkers")
+            met = met.withColumn("back", F.coalesce(F.array_position("dsts", F.col("prev")), F.lit(0)))
+            met = met.withColumn("goal", share * (F.size("dsts") + F.when(F.col("back") > 0, 1).otherwise(0)))
+            # the running weight is i before the place it came from, and i + 1 from there on
+            plain = (F.col("back") == 0) | (F.col("goal") < F.col("back") - 1)
+            at = F.when(plain, F.floor("goal") + 1).otherwise(F.greatest(F.col("back"), F.floor("goal")))
+        else:
+            met = met.withColumn("goal", share * F.element_at("uptos", -1))
+            at = F.size(F.filter("uptos", lambda x: x <= F.col("goal"))) + 1
+        now = materialize(met.select("round", "walker", F.element_at("dsts", at.cast("int")).alias("nxt"), F.col("cur").alias("prev")).withColumnRenamed("nxt", "cur"), "walkers")
         out = out.unionByName(now.select("round", "walker", F.lit(k + 1).alias("step"), F.col("cur").alias("vertex")))
     return out

@@ -421,11 +421,13 @@ def round_driver(spark, d):
     return walk.rounds(spark, edges.to_undirected(g), chances, n, n)
 
 
-@query(f"{WALK_SQL} select walker, count(*) as backs from draws where rejected and k = 0 group by walker")
+@query(f"{WALK_SQL} select walker, count(*) filter (rejected) as backs from draws group by walker")
 def backtracks(spark, d):
-    """Walkers that step back at their first draw."""
-    seen, *_ = walked(spark, d)
-    return seen.where("step in (0, 2)").groupBy("walker").agg(F.min_by("vertex", "step").alias("a"), F.max_by("vertex", "step").alias("b"), F.count("*").alias("n")).where("a = b and n = 2").select("walker", F.lit(1).cast("long").alias("backs"))
+    """Rejected draws of each walker, of all it may make."""
+    g, ids = dense(spark, d)
+    n = ids.count()
+    draws = walk.draw(walk.init_walkers(spark, n, n), materialize(edges.accept_chances(g), "chances"))
+    return draws.groupBy("walker").agg(F.count_if(F.col("rejected")).alias("backs"))
 
 
 @query(f"""{VOCAB_SQL}, near as (select *, vertex % {PARTS} as part, lag(vertex % {PARTS}) over (partition by walker order by step) as before from vis)
