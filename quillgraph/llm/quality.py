@@ -155,7 +155,7 @@ def build_model(docs: DataFrame, folder: str) -> None:
         weights = contexts.groupBy("lang", _hashed(F.col("context"), n - 1).alias("key")).agg(F.max_by("weight", F.struct("total", "context")).alias("value"))
         for kind, t in (("p", stored), ("g", weights)):
             t = t.select("lang", F.col("key").cast("int").alias("key"), F.log2("value").cast("float").alias("value"))
-            t.repartition(F.col("lang")).sortWithinPartitions("lang", "key").write.parquet(f"{folder}/kind={kind}/order={n}")
+            t.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key").write.parquet(f"{folder}/kind={kind}/order={n}")
 
 
 @functools.lru_cache(maxsize=6)
