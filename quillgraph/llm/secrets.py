@@ -124,6 +124,7 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
     name = lambda: rng.choice(("token", "secret", "password", "api_key", "apiKey", "access_token", "auth_token", "client_secret", "SECRET_KEY", "private_key", "credential", "pwd"))
     plain = lambda: rng.choice(("commit", "sha", "md5", "checksum", "hash", "digest", "uuid", "version", "revision", "build", "etag", "file", "id", "trace", "integrity"))
     quote = lambda v: (q := rng.choice(("\"", "'", "")) or "") + v + q
+    block = lambda kind: f"-----BEGIN {kind}PRIVATE KEY-----\n" + "\n".join(draw(mixed + "+/", 64) for _ in range(rng.randint(2, 20))) + f"\n-----END {kind}PRIVATE KEY-----"
     out = []
     while len(out) < count:
         secret = len(out) % 2
@@ -132,8 +133,9 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
                 lambda: draw(hexa, rng.choice((32, 40, 64))), lambda: draw(mixed, rng.randint(16, 48)), lambda: "AKIA" + draw(upper + digits, 16),
                 lambda: rng.choice(("ghp_", "gho_", "npm_", "hf_")) + draw(mixed, 36), lambda: rng.choice(("sk-", "sk_live_", "xoxb-", "glpat-")) + draw(mixed + "-", 32),
                 lambda: "AIza" + draw(mixed + "_-", 35), lambda: "eyJ" + draw(mixed, 30) + "." + draw(mixed + "_-", 40), lambda: draw(mixed + "!#$%&*+-_", rng.randint(9, 20)),
+                lambda: block(rng.choice(("", "RSA ", "EC ", "OPENSSH "))),
             ))()
-            issued = value.startswith(PREFIXES)
+            issued = value.startswith((*PREFIXES, "-----"))
             lead = rng.choice((f"{name()} = ", f"{name()}=", f"{name()}: ", *(("Bearer ", "using ", "") if issued else (f"{name()} = ",))))
             path = rng.choice(("src/app.py", "config/settings.yml", ".env", "src3", "deploy.sh", ""))
         else:
