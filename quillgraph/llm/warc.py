@@ -78,6 +78,7 @@ def assign(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("copy", F.xxhash64(F.monotonically_increasing_id()))
+    rows = materialize(rows, "warc-pages")  # a row's number must not change between the two uses
     many = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "copy")).alias("first")).where("n > 1")
     many = materialize(many.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first"), "warc-digests")
     salted = rows.withColumn("salt", F.pmod("copy", F.lit(SALTS)).cast("int"))
