@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import accept
-from ..functions.session import numbered
+from ..functions.session import materialize, numbered
 
 
 def to_undirected(edges: DataFrame) -> DataFrame:
@@ -96,21 +96,30 @@ def max_degree_vertex(edges: DataFrame) -> DataFrame:
 
 def common_neighbours(edges: DataFrame) -> DataFrame:
     """edges(src, dst, ...) of an undirected list given once -> the same rows with cn, the number of other
-    vertices next to both ends.
+    vertices next to both ends (for a self-loop: its other neighbours).
 
-    Adjacency lists are joined to the distinct edges from either end and intersected: 2 joins of E rows, where
-    joining wedges would make the sum of squared degrees.
+    Every edge is directed to its end of higher degree, so no vertex keeps more than sqrt(2 E) neighbours and a hub's
+    list is short; the ends' lists are intersected edge by edge, and each triangle found counts for its three edges.
+    Joining plain wedges would make the sum of squared degrees.
     """
-    both = to_undirected(edges.select("src", "dst")).where("src <> dst").distinct()
-    lists = both.groupBy("src").agg(F.collect_set("dst").alias("nbrs"))
-    pairs = edges.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    one = lists.select(F.col("src").alias("a"), F.col("nbrs").alias("na"))
-    two = lists.select(F.col("src").alias("b"), F.col("nbrs").alias("nb"))
-    found = pairs.join(one, "a", "left").join(two, "b", "left")
-    other = F.array_except(F.array_intersect("na", "nb"), F.array("a", "b"))
-    counted = found.select("a", "b", F.coalesce(F.size(other), F.lit(0)).cast("long").alias("cn"))
-    keyed = edges.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
-    return keyed.join(counted, ["a", "b"]).drop("a", "b")
+    both = materialize(to_undirected(edges.select("src", "dst")).where("src <> dst").distinct(), "both")
+    degree = materialize(out_degree(both), "degree")
+    a, b = (degree.select(F.col("v").alias(c), F.col("degree").alias(f"{c}_degree")) for c in ("src", "dst"))
+    rising = both.join(a, "src").join(b, "dst").where(F.struct("src_degree", "src") < F.struct("dst_degree", "dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    rising = materialize(rising, "rising")
+    lists = materialize(rising.groupBy("a").agg(F.collect_list("b").alias("up")), "up")
+    met = rising.join(lists, "a").join(lists.select(F.col("a").alias("b"), F.col("up").alias("top")), "b")
+    third = met.select("a", "b", F.array_intersect("up", "top").alias("c")).where(F.size("c") > 0)
+
+    def side(x: str):
+        return F.transform("c", lambda c: F.struct(F.least(F.col(x), c).alias("x"), F.greatest(F.col(x), c).alias("y"), F.lit(1).cast("long").alias("n")))
+
+    own = F.array(F.struct(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"), F.size("c").cast("long").alias("n")))
+    counted = third.select(F.explode(F.concat(own, side("a"), side("b"))).alias("t")).groupBy("t.x", "t.y").agg(F.sum("t.n").alias("cn"))
+    loops = degree.select(F.col("v").alias("x"), F.col("v").alias("y"), F.col("degree").alias("cn"))
+    loops = loops.join(edges.where("src = dst").select(F.col("src").alias("x")).distinct(), "x", "left_semi")
+    keyed = edges.withColumn("x", F.least("src", "dst")).withColumn("y", F.greatest("src", "dst"))
+    return keyed.join(counted.unionByName(loops), ["x", "y"], "left").drop("x", "y").withColumn("cn", F.coalesce("cn", F.lit(0).cast("long")))
 
 
 def lookup(pairs: DataFrame, edges: DataFrame, value: str, missing=0) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import xlog2x
 from ..functions.rng import u32, uniform
-from ..functions.session import materialize
+from ..functions.session import materialize, numbered
 from .edges import out_degree
 
 MIN_STEPS, CORR_BOUND, KL_STEP, INIT_ROUNDS = 20, 0.999, 0.001, 5
@@ -35,11 +35,6 @@ def init_walkers(spark, walkers: int, vertices: int, round_: int = 0) -> DataFra
     return spark.range(walkers).select(F.lit(round_).cast("int").alias("round"), F.col("id").alias("walker"), F.pmod("id", F.lit(vertices)).alias("cur"))
 
 
-def adjacency(chances: DataFrame) -> DataFrame:
-    """chances(src, dst, accept) -> src, nbrs sorted by dst."""
-    return chances.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "accept"))).alias("nbrs"))
-
-
 def draw_local(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
     """Draws over a broadcast adjacency."""
     edges = chances.select("src", "dst", "accept").toPandas().sort_values(["src", "dst"], kind="stable")
@@ -74,19 +69,31 @@ def draw_local(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAW
     return walkers.repartition(F.col("walker")).mapInPandas(run, DRAWS)
 
 
+def _numbered_neighbours(chances: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, i, dst, accept): each vertex's neighbours numbered by dst; (src, degree, first): how many, and the first.
+
+    Numbers come from places in the whole sorted list, so a hub's neighbours are no one task's.
+    """
+    rows = numbered(chances, "src", "dst", name="place")
+    heads = materialize(rows.groupBy("src").agg(F.min("place").alias("base"), F.count("*").alias("degree"), F.min("dst").alias("first")), "heads")
+    rows = rows.join(heads.select("src", "base"), "src").select("src", (F.col("place") - F.col("base")).alias("i"), "dst", "accept")
+    return materialize(rows, "neighbours"), heads.drop("base")
+
+
 def draw_joined(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
-    """The same draws by a join of walkers and adjacency a step; every eighth step is written."""
-    lists = materialize(adjacency(chances), "adjacency")
-    own = F.filter("nbrs", lambda x: x["dst"] != F.col("cur"))
+    """The same draws by joins: a walker meets its vertex's degree, then the neighbour of the number it drew. Every
+    fourth step is written."""
+    rows, heads = _numbered_neighbours(chances)
+    others, other_heads = _numbered_neighbours(chances.where("src <> dst"))
     now, out = walkers, None
     for k in range(max_draws):
-        met = now.join(lists, now["cur"] == lists["src"])
-        met = met.where(~((F.size("nbrs") == 2) & (F.col("nbrs")[0]["dst"] == F.col("cur"))))
-        met = met.withColumn("pool", own if k == 0 else F.col("nbrs")).where(F.size("pool") > 0)
-        pick = F.element_at("pool", (F.pmod(u32(salt, F.col("round"), F.col("walker"), k, "n"), F.size("pool")) + 1).cast("int"))
-        step = met.select("round", "walker", F.lit(k).alias("k"), "cur", pick.alias("c"))
-        step = step.select("round", "walker", "k", "cur", F.col("c.dst").alias("cand"), (F.col("c.accept") <= uniform(salt, F.col("round"), F.col("walker"), k, "a")).alias("rejected"))
-        if k % 8 == 7:
+        met = now.join(heads.withColumnRenamed("src", "cur"), "cur").where("not (degree = 2 and first = cur)")
+        if k == 0:
+            met = met.drop("degree", "first").join(other_heads.withColumnRenamed("src", "cur"), "cur")
+        met = met.withColumn("i", F.pmod(u32(salt, F.col("round"), F.col("walker"), k, "n"), F.col("degree")))
+        step = met.join((others if k == 0 else rows).withColumnRenamed("src", "cur"), ["cur", "i"])
+        step = step.select("round", "walker", F.lit(k).alias("k"), "cur", F.col("dst").alias("cand"), (F.col("accept") <= uniform(salt, F.col("round"), F.col("walker"), k, "a")).alias("rejected"))
+        if k % 4 == 3:
             step = materialize(step, "draws")
         out = step if out is None else out.unionByName(step)
         now = step.select("round", "walker", F.when(F.col("rejected"), F.col("cur")).otherwise(F.col("cand")).alias("cur"))
@@ -175,34 +182,54 @@ def rounds(spark, undirected: DataFrame, chances: DataFrame, vertices: int, walk
     return spark.createDataFrame(out, "round int, d double, visits long")
 
 
+#: Neighbours that a weighted step searches, on average.
+BUCKET = 16
+
+
+def _weight_buckets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(src, bucket, dst, low, upto): each vertex's neighbours by dst with the running weight before and with them, in every
+    bucket of equal weight that they reach into; (src, whole, buckets). Rows exceed the edges by a BUCKET-th at most."""
+    rows = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
+    order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("upto", F.sum("w").over(order))
+    rows = rows.withColumn("low", F.coalesce(F.lag("upto").over(Window.partitionBy("src").orderBy("dst", "upto")), F.lit(0.0)))
+    heads = materialize(rows.groupBy("src").agg(F.max("upto").alias("whole"), F.ceil(F.count("*") / BUCKET).alias("buckets")), "heads")
+    rows = rows.join(heads, "src")
+    at = lambda x: F.floor(F.col(x) / F.col("whole") * F.col("buckets"))
+    rows = rows.withColumn("bucket", F.explode(F.sequence(at("low"), at("upto")))).select("src", "bucket", "dst", "low", "upto")
+    return materialize(rows, "buckets"), heads
+
+
 def weighted_walk(walkers: DataFrame, edges: DataFrame, length: int, second_order: bool = False, salt: int = 7) -> DataFrame:
     """Fixed-length walks by edge weight: round, walker, step, vertex.
 
     A walker takes the first neighbour (by dst) whose running weight passes a uniform share of the whole. Second order:
     neighbours are distinct and count alike, but the one it came from counts twice. A walker without neighbours stays out of later steps.
-    Running weights are made once a vertex; a step is one join and a search in an array.
+    Steps are joins on a vertex and a bucket of its weight, or a neighbour's number; no vertex's neighbours are
+    gathered in a row.
     """
     if second_order:
-        lists = edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("dsts"))
+        rows, heads = _numbered_neighbours(edges.select("src", "dst").distinct().withColumn("accept", F.lit(1.0)))
+        places = rows.select(F.col("src").alias("cur"), F.col("dst").alias("prev"), (F.col("i") + 1).alias("back"))
     else:
-        order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
-        rows = edges.select("src", "dst", F.sum(F.col("w").cast("double")).over(order).alias("upto"))
-        lists = rows.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("dst", "upto"))).alias("n")).select("src", F.col("n.dst").alias("dsts"), F.col("n.upto").alias("uptos"))
-    lists = materialize(lists, "adjacency")
+        rows, heads = _weight_buckets(edges)
+    rows, heads = rows.withColumnRenamed("src", "cur"), heads.withColumnRenamed("src", "cur")
     now = walkers.select("round", "walker", "cur", F.lit(None).cast("long").alias("prev"))
     out = now.select("round", "walker", F.lit(0).alias("step"), F.col("cur").alias("vertex"))
     for k in range(length):
         share = uniform(salt, F.col("round"), F.col("walker"), k, "w")
-        met = now.join(lists, now["cur"] == lists["src"])
+        met = now.join(heads, "cur")
         if second_order:
-            met = met.withColumn("back", F.coalesce(F.array_position("dsts", F.col("prev")), F.lit(0)))
-            met = met.withColumn("goal", share * (F.size("dsts") + F.when(F.col("back") > 0, 1).otherwise(0)))
+            met = met.join(places, ["cur", "prev"], "left").withColumn("back", F.coalesce("back", F.lit(0)))
+            met = met.withColumn("goal", share * (F.col("degree") + F.when(F.col("back") > 0, 1).otherwise(0)))
             # the running weight is i before the place it came from, and i + 1 from there on
             plain = (F.col("back") == 0) | (F.col("goal") < F.col("back") - 1)
             at = F.when(plain, F.floor("goal") + 1).otherwise(F.greatest(F.col("back"), F.floor("goal")))
+            step = met.withColumn("i", (at - 1).cast("long")).join(rows, ["cur", "i"])
         else:
-            met = met.withColumn("goal", share * F.element_at("uptos", -1))
-            at = F.size(F.filter("uptos", lambda x: x <= F.col("goal"))) + 1
-        now = materialize(met.select("round", "walker", F.element_at("dsts", at.cast("int")).alias("nxt"), F.col("cur").alias("prev")).withColumnRenamed("nxt", "cur"), "walkers")
+            met = met.withColumn("goal", share * F.col("whole"))
+            met = met.withColumn("bucket", F.floor(F.col("goal") / F.col("whole") * F.col("buckets")))
+            step = met.join(rows, ["cur", "bucket"]).where("upto > goal and low <= goal")
+        now = materialize(step.select("round", "walker", F.col("dst").alias("nxt"), F.col("cur").alias("prev")).withColumnRenamed("nxt", "cur"), "walkers")
         out = out.unionByName(now.select("round", "walker", F.lit(k + 1).alias("step"), F.col("cur").alias("vertex")))
     return out

@@ -581,7 +581,15 @@ def components(spark, d):
     return programs.connected_components(sparse(spark, d))
 
 
-@query()
+SSSP_SQL = f"""with recursive {SUCCESSION_SQL}, sp(v, distance) using key (v) as (
+  select {ROOT}::bigint, 0.0::double
+  union
+  select e.dst, min(sp.distance + e.w) from sp join succ e on e.src = sp.v left join recurring.sp as known on known.v = e.dst
+  where sp.distance + e.w < coalesce(known.distance, 1e300) group by e.dst)
+select v, distance from sp"""
+
+
+@query(SSSP_SQL)
 def sssp(spark, d):
     return programs.sssp(materialize(graphs.succession(spark, d), "succ"), ROOT)
 
@@ -595,7 +603,24 @@ def bfs_level(spark, d):
     return programs.bfs(materialize(graphs.succession(spark, d), "succ"), ROOT)
 
 
-@query()
+BETWEENNESS_SQL = f"""{BFS_SQL}, verts as (select src as v from succ union select dst from succ),
+down as (select distinct src, dst, a.level as up from succ join levels a on a.v = src join levels b on b.v = dst and b.level = a.level + 1),
+sigma(v, level, paths) as (
+  select {ROOT}::bigint, 0::bigint, 1.0::double
+  union all
+  select d.dst, max(s.level) + 1, sum(s.paths) from sigma s join down d on d.src = s.v group by d.dst),
+delta(v, level, dependency) as (
+  select v, level, 0.0::double from sigma where level = (select max(level) from sigma)
+  union all
+  select s.v, s.level, coalesce(sum(case when c.v is not null then s.paths / c.paths * (1 + c.dependency) end), 0.0::double)
+  from (select distinct level - 1 as k from delta) t join sigma s on s.level = t.k
+  left join (select d.src, x.v, x.dependency, y.paths from down d join delta x on x.v = d.dst join sigma y on y.v = x.v) c on c.src = s.v
+  group by s.v, s.level, s.paths)
+select verts.v, coalesce(round(paths, 6), 0.0) as paths, coalesce(round(dependency, 6), 0.0) as dependency
+from verts left join sigma on sigma.v = verts.v left join delta on delta.v = verts.v"""
+
+
+@query(BETWEENNESS_SQL)
 def betweenness(spark, d):
     t = programs.betweenness(materialize(graphs.succession(spark, d), "succ"), ROOT)
     return t.select("v", F.round("paths", 6).alias("paths"), F.round("dependency", 6).alias("dependency"))
@@ -756,3 +781,62 @@ def streaming_degrees(spark, d):
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of every vertex by the entropy walk."""
     return walk.visit_counts(walked(spark, sf_dir)[0])
+
+
+# -- storage forms -----------------------------------------------------------------------------------------------
+
+
+@query(f"""with {IDS_SQL}, d as (select id as v, degree from ids join deg using (v))
+select v, cast(sum(degree) over (order by v) - degree as bigint) as "begin", cast(sum(degree) over (order by v) as bigint) as "end" from d""")
+def build_csr(spark, d):
+    """Where each vertex's neighbours begin and end in one array of all, by vertex."""
+    from ..functions.session import running_sum
+
+    g, _ = dense(spark, d)
+    rows = running_sum(edges.out_degree(edges.to_undirected(g)), "degree", "v")
+    return rows.select("v", (F.col("upto") - F.col("degree")).alias("begin"), F.col("upto").alias("end"))
+
+
+@query(f"with {UNDIRECTED_SQL} select src, dst from und")
+def shuffle_edges(spark, d):
+    """Edges dealt to their source's range."""
+    return und(spark, d).repartitionByRange("src").sortWithinPartitions("src", "dst")
+
+
+@query(f"""{RANGES_SQL}, back as (select v, row_number() over (order by {PARTS - 1} - part, v) - 1 as id from owned)
+select a.id as src, b.id as dst from co join ids x on co.src = x.v join ids y on co.dst = y.v join back a on a.v = x.id join back b on b.v = y.id""")
+def relabelled_files(spark, d):
+    """Edges under the ids of a partition, the partition's ranges and sizes beside them, as files."""
+    g, ranges, o = owned(spark, d)
+    folder = shared_dir(spark, "relabelled")
+    ids = materialize(partition.relabel_by_partition(o.withColumn("part", PARTS - 1 - F.col("part"))), "ids")
+    files.write_edge_text(edges.relabel(g, ids), f"{folder}/edges")
+    files.write_ranges(ranges, f"{folder}/ranges")
+    return files.read_edge_text(spark, f"{folder}/edges")
+
+
+@query()
+def init_matrices(spark, d):
+    """Starting vectors of every vertex by rank."""
+    _, vocab = ranked(spark, d)
+    wih, _ = embed.init_matrices(vocab.count(), 8)
+    first = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(wih)], "rank long, vec array<float>")
+    return vocab.select("v", "rank").join(first, "rank")
+
+
+@query()
+def negative_sample(spark, d):
+    """How often each rank is drawn as a negative, of 100,000 draws in ten tasks."""
+    import numpy as np
+    import pandas as pd
+
+    _, vocab = ranked(spark, d)
+    cdf = np.array([r["cdf"] for r in corpus.unigram_cdf(vocab).orderBy("rank").collect()])
+
+    def draws(batches):
+        for pdf in batches:
+            for seed in pdf["id"]:
+                got, n = np.unique(embed.negative_sample(cdf, 10_000, np.random.default_rng(seed)), return_counts=True)
+                yield pd.DataFrame({"rank": got, "n": n})
+
+    return spark.range(10).mapInPandas(draws, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))

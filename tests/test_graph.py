@@ -266,3 +266,30 @@ def test_empty_graph(spark):
     assert programs.connected_components(none).count() == 0
     vertices = spark.range(0).withColumnRenamed("id", "v")
     assert partition.workload_ranges(vertices, none, 3).count() == 0
+
+
+@pytest.mark.parametrize("second", [False, True])
+def test_weighted_walk_equals_python(spark, second):
+    from quillgraph.functions.rng import u32_py
+
+    rng = np.random.default_rng(2)
+    rows = [(a, b, float(w)) for (a, b), w in zip(random_graph(12, 60, 4), rng.random(60) * 5 + 0.1)]
+    both = rows + [(b, a, w) for a, b, w in rows]
+    near = {}
+    for a, b, w in sorted(both):
+        near.setdefault(a, []).append((b, w))
+    starts = sorted(near)
+    walkers = spark.createDataFrame([(0, v, v) for v in starts], "round int, walker long, cur long")
+    got = {(r["walker"], r["step"]): r["vertex"] for r in walk.weighted_walk(walkers, frame(spark, both, "src long, dst long, w double"), 6, second).collect()}
+    for v in starts:
+        cur, prev = v, None
+        for k in range(6):
+            weights = [(x, (2.0 if x == prev else 1.0) if second else w) for x, w in near[cur]]
+            goal = u32_py(7, 0, v, k, "w") / 2**32 * sum(w for _, w in weights)
+            total = 0.0
+            for x, w in weights:
+                total += w
+                if total > goal:
+                    break
+            cur, prev = x, cur
+            assert got[(v, k + 1)] == cur
