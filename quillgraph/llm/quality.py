@@ -8,8 +8,8 @@ most 24 bits (its bytes up to three, a hash above; the rarer of two n-grams with
 folder. So a language's model has at most 2^24 entries an order, whatever the corpus; a worker loads
 a language's arrays when it meets its first document.
 
-Bands: the logarithm of a document's bits per byte must lie within ``FENCE`` interquartile ranges of the
-quartiles of its language and length class (the power of two below n_words); a class of fewer than
+Bands: the logarithm of a document's bits per word (the binary logarithm of its perplexity) must lie within ``FENCE``
+interquartile ranges of the quartiles of its language and length class (the power of two below n_words); a class of fewer than
 ``CLASS_ROWS`` documents is judged by its language's quartiles. Quartiles are exact over bins of 0.001,
 of all documents that pass the other rules.
 
@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 from .common import filesystem, materialize, pylist, rows_of, shared_dir, small_batches, table, text_rows
 
 ORDER = 5
-FENCE, CLASS_ROWS, BIN = 4.0, 100, 0.001
+FENCE, CLASS_ROWS, BIN = 3.0, 100, 0.001
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: A key of n bytes, n > 3, is the top 24 bits of its product with this odd number, modulo 2^40.
@@ -214,11 +214,9 @@ def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
         for batch in batches:
             for part in rows_of(batch, 8 << 20, "quality_text"):
                 texts = [x or "" for x in pylist(part, "quality_text")]
-                rate = []
-                for text, lang in zip(texts, pylist(part, "quality_lang")):
-                    raw = text.encode()
-                    rate.append(bits(raw, _arrays(folder, lang)) / len(raw) if raw else None)
-                counts = [pa.array(c, pa.int64()) for c in zip(*map(base, texts))]
+                rows = [base(x) for x in texts]
+                rate = [bits(x.encode(), _arrays(folder, lang)) / row[0] if row[0] else None for x, lang, row in zip(texts, pylist(part, "quality_lang"), rows)]
+                counts = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 part = part.drop_columns(["quality_text"])
                 yield pa.RecordBatch.from_arrays([*part.columns, *counts, pa.array(rate, pa.float64())], names)
 

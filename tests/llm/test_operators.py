@@ -1,0 +1,511 @@
+"""The pipeline operators against plain Python on small tables with nulls, empty and long texts, ties, copies and extra columns."""
+
+import base64
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+from quillgraph.llm import components, media, mixing, packing, quality, secrets, simhash, substring, token_files, tokens, toxicity, trees, warc
+from quillgraph.llm.common import shared_dir
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, label int"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+BYTE, WORDS = (public_tokenizers.path(f"{x}.json") for x in ("byte_bpe_50k", "word_bpe_49k"))
+
+
+def prose(rng, n):
+    return " ".join(rng.choice(["the", "of", "and"]) if rng.random() < 0.4 else "".join(rng.choice(["er", "on", "an", "ti", "he", "sh", "é", "Ö"]) for _ in range(rng.randint(1, 4))) + rng.choice(["", "", "", ".", ",", ".\nNew"]) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    """Documents with every odd case; columns row, size and label clash with names used inside the operators."""
+    rng = random.Random(3)
+    out = [(i, prose(rng, rng.choice([3, 40, 80, 200])), rng.choice(["en", "de", None]), rng.choice(["a", "b", "c", "a", None]), 1) for i in range(60)]
+    shared = prose(rng, 45)
+    out += [(100 + i, prose(rng, 10) + " " + shared + " " + prose(rng, i), "en", "a", 1) for i in range(6)]
+    out += [(200 + i, out[2][1], "en", "a", 1) for i in range(5)]  # copies
+    out += [(300, None, None, None, None), (301, "", "en", "b", 0), (302, " \n\t ", "en", "b", 4), (None, out[3][1], "en", "c", 1), (303, "one", "en", "a", 3)]
+    out += [(304, out[4][1], "en", "a", 1)] * 3  # repeated rows
+    out += [(305, prose(rng, 9000), "en", "b", 1), (306, "x  y z \x1c a\r\nb  <|endoftext|> don't ΑΣ İ ", "en", "b", 1), (307, "a b a b " * 60, "de", "b", 1)]
+    return [(*r, "r", 5, 1) for r in out]
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame(rows, SCHEMA).repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def files(spark, rows):
+    """The same as rows of files, as the stages read them."""
+    path = shared_dir(spark, "docs")
+    spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+@pytest.fixture(scope="module")
+def none(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def key(x):
+    return (x is not None, x or 0)
+
+
+def plain_ids(path, text):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    return t.encode(text or "", add_special_tokens=False).ids + [2]
+
+
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
+
+
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_equals_library(rows, path):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    texts = [r[1] or "" for r in rows] + ["a  b   c\n d \t e.", " x", "\n", "a\n\nb", "’s don't DON'T we'll", "ſ K Å １２", "a\x00b \x01 c", "...,,, !? a.b", "é É"]
+    for cache in (10, 100_000):
+        enc = tokens.Encoder(path, cache)
+        for _ in range(3):
+            got = enc.encode(texts)
+        for text, ids in zip(texts, got):
+            assert np.frombuffer(ids, enc.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
+        assert len(enc.known) <= cache
+
+
+def test_token_files(spark, docs, rows, none):
+    folder = shared_dir(spark, "tokens")
+    manifest = token_files.write_token_files(docs, folder, BYTE, 2)
+    got = sorted((tuple(r) for r in token_files.read_token_files(spark, folder, manifest).collect()), key=lambda r: r[1])
+    want, start = [], 0
+    for r in sorted(rows, key=lambda r: (key(r[0]), r[1] or "")):
+        ids = plain_ids(BYTE, r[1])
+        want.append((r[0], start, len(ids), crc(ids)))
+        start += len(ids)
+    assert got == want
+    empty = shared_dir(spark, "tokens")
+    assert token_files.read_token_files(spark, empty, token_files.write_token_files(none, empty, BYTE, 2)).count() == 0
+
+
+def test_differencing():
+    rng = random.Random(1)
+    assert packing.difference([], 3) == [] and packing.difference([5], 3) == [[0]]
+    sums = [sum((8, 7, 6, 5, 4)[i] for i in w) for w in packing.difference([8, 7, 6, 5, 4], 2)]
+    assert sorted(sums) == [14, 16]  # the textbook's differencing result
+    for _ in range(30):
+        sizes = [rng.randint(1, 100) for _ in range(rng.randint(1, 60))]
+        for m in (1, 2, 7, 80):
+            got = packing.difference(sizes, m)
+            assert sorted(sum(got, [])) == list(range(len(sizes))) and len(got) <= m
+        windows = packing.pack(sizes, 100)
+        assert all(sum(sizes[i] for i in w) <= 100 for w in windows)
+
+
+def test_packing(docs, rows, none):
+    got = packing.crc32s(packing.pack_documents(docs, WORDS, 2, 256, 16)).toPandas()
+    windows = {}
+    for r in got.itertuples():
+        windows.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for w in windows.values():
+        at = 0
+        for offset, length in sorted(w):
+            assert offset == at
+            at += length
+        assert at <= 256
+    assert got.length.sum() / (256 * len(windows)) > 0.85
+    want = Counter()
+    for r in rows:
+        ids = plain_ids(WORDS, r[1])
+        want.update((r[0], a, len(ids[a : a + 256]), len(ids), crc(ids[a : a + 256])) for a in range(0, len(ids), 256))
+    have = Counter((None if r.doc_id != r.doc_id else int(r.doc_id), r.start, r.length, r.doc_tokens, r.ids_crc32) for r in got.itertuples())
+    assert have == want
+    assert packing.pack_documents(none, WORDS, 2).count() == 0
+
+
+def test_warc(spark, none):
+    pages = [(i, f"http://x/{i}", f"<p>{'é' * (i % 4)} {i // 3}</p>") for i in range(40)] + [(50, None, None), (51, "u\nv", ""), (52, "http://l", "<a>" * 50_000), (53, "d", "same"), (53, "d", "same"), (None, "n", "same")]
+    frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(4)
+    dictionary = warc.train_dictionary(frame)
+    folder = shared_dir(spark, "warc")
+    names = warc.write_warc(warc.assign(frame), folder, dictionary)
+    got = warc.read_warc(spark, names).collect()
+    with open(names[0].removeprefix("file://"), "rb") as f:
+        head = f.read(8 + len(dictionary))
+    assert int.from_bytes(head[:4], "little") == warc.SKIPPABLE and head[8:] == dictionary
+    groups = {}
+    for page_id, _, html in pages:
+        groups.setdefault(html or "", []).append(page_id)
+    want = Counter()
+    for html, ids in groups.items():
+        raw = html.encode()
+        digest = base64.b32encode(hashlib.sha1(raw).digest()).decode()
+        ids = sorted(ids, key=key)
+        want.update([(ids[-1], len(raw), digest, "response", None), *[(i, len(raw), digest, "revisit", ids[-1]) for i in ids[:-1]]])
+    assert Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert {r["payload"].decode() for r in got if r["payload"] is not None} == set(groups)
+    empty = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
+    assert warc.train_dictionary(empty) == b""
+    assert warc.read_warc(spark, warc.write_warc(warc.assign(empty), shared_dir(spark, "warc"), b"")).count() == 0
+
+
+def plain_base(text):
+    w = WORD.findall(text)
+    at = {}
+    for i in range(len(w) - 2):
+        at.setdefault(tuple(w[i : i + 3]), []).append(i)
+    covered = {i + k for v in at.values() if len(v) > 1 for i in v for k in range(3)}
+    lines, seen = 0, set()
+    for x in text.split("\n"):
+        if WORD.search(x):
+            lines += x in seen
+            seen.add(x)
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), lines, len(covered)
+
+
+def plain_model(texts, order=quality.ORDER):
+    """Modified Kneser-Ney by dictionaries: the probability of a byte after its context."""
+    top = Counter()
+    for t in texts:
+        b = b"\n" * (order - 1) + t
+        top.update(b[i : i + order] for i in range(len(b) - order + 1))
+    counts = {order: top}
+    for n in range(order - 1, 0, -1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    tables = {}
+    for n in range(1, order + 1):
+        c = [max(1, sum(v == i for v in counts[n].values())) for i in (1, 2, 3, 4)]
+        y = c[0] / (c[0] + 2 * c[1])
+        off = [min(max(i - (i + 1) * y * c[i] / c[i - 1], 0.1), i - 0.05) for i in (1, 2, 3)]
+        total, kept = Counter(), Counter()
+        for g, v in counts[n].items():
+            total[g[:-1]] += v
+            kept[g[:-1]] += off[min(v, 3) - 1]
+        tables[n] = (counts[n], off, total, kept)
+
+    def chance(g):
+        if not g:
+            return 1 / 256
+        count, off, total, kept = tables[len(g)]
+        below = chance(g[1:])
+        if not total[g[:-1]]:
+            return below
+        v = count[g]
+        return ((v - off[min(v, 3) - 1]) if v else 0) / total[g[:-1]] + kept[g[:-1]] / total[g[:-1]] * below
+
+    return chance
+
+
+def test_quality(spark, docs, rows, none):
+    judged = quality.judge(docs, ["doc_id", "text", "lang", "row"]).collect()
+    assert len(judged) == len(rows)
+    english = [(r[1] or "").encode() for r in rows if r[2] == "en"]
+    chance = plain_model([t for t in english if t])
+    for r in judged:
+        text = r["text"] or ""
+        want = plain_base(text)
+        assert tuple(r[f"quality_{c}"] for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")) == want
+        assert r["quality_base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["quality_base_failed"] and r["quality_kept"]) and r["row"] == "r"
+        raw = text.encode()
+        if r["lang"] == "en" and want[0] and len(raw) < 3000:
+            b = b"\n" * 4 + raw
+            bits = -sum(np.log2(chance(b[i : i + 5])) for i in range(len(raw))) / want[0]
+            assert r["quality_bits"] == pytest.approx(bits, rel=1e-3)
+    odd = [r for r in judged if r["text"] and r["text"].startswith("a b a b")]
+    assert odd and not odd[0]["quality_kept"]
+    assert quality.judge(none, ["doc_id"]).count() == 0 and quality.keep_good(none).columns == none.columns
+
+
+def test_perplexity_bands_reject_noise(spark):
+    rng = random.Random(5)
+    clean = [(i, prose(rng, 120), "en") for i in range(150)]
+    noise = [(1000 + i, " ".join("".join(rng.choice("qzxjkvwQZXJ#%&0123456789") for _ in range(7)) for _ in range(120)), "en") for i in range(3)]
+    got = {r["doc_id"]: r["quality_kept"] for r in quality.judge(spark.createDataFrame(clean + noise, "doc_id long, text string, lang string"), ["doc_id"]).collect()}
+    assert not any(got[1000 + i] for i in range(3)) and np.mean([got[i] for i in range(150)]) > 0.97
+
+
+@pytest.mark.parametrize("shard", [substring.SHARD, 1])
+def test_substring(spark, docs, rows, none, shard):
+    first = {}
+    ordered = sorted(rows, key=lambda r: key(r[0]))
+    words = [WORD.findall(r[1] or "") for r in ordered]
+    for r, w in zip(ordered, words):
+        for i in range(len(w) - 19):
+            k = tuple(w[i : i + 20])
+            first[k] = min(first.get(k, (key(r[0]), i)), (key(r[0]), i))
+    want = Counter()
+    for r, w in zip(ordered, words):
+        gone = {i + j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < (key(r[0]), i) for j in range(20)}
+        want[(r[0], len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone))] += 1
+    got = substring.remove(docs, shared_dir(spark, "sub"), shard=shard).collect()
+    assert Counter(map(tuple, got)) == want
+    assert substring.remove(none, shared_dir(spark, "sub")).count() == 0
+
+
+def test_automaton():
+    rng = random.Random(2)
+    for _ in range(200):
+        texts = [[rng.randint(0, 2) for _ in range(rng.randint(1, 14))] for _ in range(4)]
+        a = substring.Automaton()
+        for t in texts[:3]:
+            a.add(t)
+        held = {tuple(t[i : i + 4]) for t in texts[:3] for i in range(len(t) - 3)}
+        assert a.windows(texts[3], 4) == [i for i in range(len(texts[3]) - 3) if tuple(texts[3][i : i + 4]) in held]
+
+
+def test_secret_forest_on_held_out_findings():
+    found = secrets.labelled_findings(3000, seed=1)
+    forest = secrets.train(found[:2000])
+    x = [secrets.features(t, a, n, next((k for b, m, k in secrets.candidates(t) if b <= a < b + m), "run"), p) for t, a, n, p, _ in found[2000:]]
+    y = np.array([f[4] for f in found[2000:]])
+    assert ((forest.predict(np.array(x, float)) >= 0.5) == y).mean() > 0.95
+
+
+def test_secrets(spark, none):
+    key_ = "-----BEGIN RSA PRIVATE KEY-----\n" + "Ab3d" * 40 + "\n-----END RSA PRIVATE KEY-----"
+    token = "3f9a1c" * 6 + "b7e2"
+    texts = [f'the token = "{token}" is here', "see commit " + "0a1b2c3d" * 5 + " for it", f"é {key_} after", "password = your_token_here", "no secret at all", "", None, "x " * 20_000 + f'api_key: "{token}"']
+    docs = spark.createDataFrame([(i, t, None if i == 2 else "src", i, "k") for i, t in enumerate(texts)], "doc_id long, text string, source string, n_chars long, path string")
+    found = secrets.scan(docs).collect()
+    got = {r["doc_id"] for r in found if r["accepted"]}
+    assert got == {0, 2, 7}
+    forest = secrets.default_forest()
+    want = {(i, a, n) for i, t in enumerate(texts) for a, n, _, _ in secrets.scan_texts([t or ""], ["src"], forest)[0]}
+    assert {(r["doc_id"], r["start"], r["length"]) for r in found} == want
+    clean = {r["doc_id"]: r for r in secrets.redact(docs).collect()}
+    assert clean[0]["text"] == f'the token = "{secrets.MASK}" is here' and clean[0]["n_chars"] == len(clean[0]["text"])
+    assert clean[4]["text"] == texts[4] and clean[6]["text"] is None and token not in clean[7]["text"]
+    assert secrets.scan(none).count() == 0 and secrets.redact(none).count() == 0
+
+
+def plain_fingerprint(text):
+    import xxhash
+
+    w = (text or "").encode().lower().split()
+    shingles = [b" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or ([b" ".join(w)] if w else [])
+    ones = [0] * 64
+    for s in shingles:
+        h = xxhash.xxh64_intdigest(s, 42)
+        for b in range(64):
+            ones[b] += h >> b & 1
+    return sum(1 << b for b in range(64) if shingles and 2 * ones[b] > len(shingles))
+
+
+def groups(values):
+    """value -> smallest index reachable over two bits or less."""
+    parent = list(range(len(values)))
+
+    def top(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(values)):
+        for j in range(i):
+            if (values[i] ^ values[j]).bit_count() <= 2:
+                a, b = top(i), top(j)
+                parent[max(a, b)] = min(a, b)
+    return [top(i) for i in range(len(values))]
+
+
+def test_simhash(docs, rows, none):
+    got = simhash.near_duplicates(docs.drop("row")).collect()
+    fps = [plain_fingerprint(r[1]) for r in rows]
+    for r in got:
+        assert r["fp"] & (2**64 - 1) in fps
+    tops = groups(fps)
+    best = {}
+    for r, t in zip(rows, tops):
+        if r[0] is not None:
+            best[t] = min(best.get(t, r[0]), r[0])
+    want = Counter((r[0], f, best.get(t)) for r, f, t in zip(rows, fps, tops))
+    assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
+    assert simhash.near_duplicates(none.drop("row")).count() == 0
+
+
+@pytest.mark.parametrize("shard", [4096, 2])
+def test_links_of_dense_shards(spark, shard):
+    rng = random.Random(4)
+    base = [rng.getrandbits(64) for _ in range(6)]
+    values = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(40)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard)
+    got = {r["node"]: r["component"] for r in components.components(found).collect()}
+    tops = groups(values)
+    classes = {}
+    for v, t in zip(signed, tops):
+        classes.setdefault(t, set()).add(v)
+    for members in classes.values():
+        assert {got.get(v, v) for v in members} == {min(members)}
+
+
+def test_bk_tree():
+    rng = random.Random(6)
+    values = [rng.getrandbits(12) for _ in range(300)]
+    tree = simhash.BKTree()
+    for v in values:
+        tree.add(v)
+    for v in values[:40]:
+        assert set(tree.near(v, 2)) == {x for x in values if (x ^ v).bit_count() <= 2}
+
+
+def test_mixing(spark, docs, rows, none):
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    size = Counter()
+    for r in rows:
+        size[r[3]] += len(WORD.findall(r[1] or ""))
+    names = [*sorted(x for x in size if x is not None), None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    goal, open_, left = {}, set(names), sum(size.values())
+    while open_:
+        share = left / sum(weight[s] for s in open_)
+        over = {s for s in open_ if share * weight[s] > 3 * size[s]}
+        if not over:
+            goal |= {s: share * weight[s] for s in open_}
+            break
+        goal |= {s: 3.0 * size[s] for s in over}
+        left -= sum(goal[s] for s in over)
+        open_ -= over
+    taken, most = Counter(), Counter()
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(goal[r["source"]])
+        assert 0 <= r["taken"] <= 3 * r["size"] and (not r["size"] or r["taken"] % r["size"] == 0)
+        taken[r["source"]] += r["taken"]
+        most[r["source"]] = max(most[r["source"]], r["size"])
+    for s in names:
+        assert abs(taken[s] - goal[s]) <= 2 * max(most.values())
+    assert sum(taken.values()) <= sum(size.values())
+    again = mixing.mix(docs.repartition(3)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mixing.mix(none).count() == 0
+
+
+def test_mixing_equals_sql(spark, rows):
+    import duckdb
+    import pandas as pd
+
+    con = duckdb.connect()
+    con.register("given", pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"}))
+    con.sql("create table documents as select cast(doc_id as bigint) as doc_id, text, lang, source from given")
+    want = Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.sql(mixing.OP8_SQL).fetchall())
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).drop("source").collect()
+    assert Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got) == want
+
+
+def test_cuts_equal_a_rolling_hash():
+    rng = random.Random(1)
+    data = bytes(rng.randrange(256) for _ in range(150_000))
+    h, hashes = 0, []
+    for b in data:
+        h = ((h << 1) + int(media._gear()[b])) & 0xFFFFFFFF
+        hashes.append(h)
+    want, start = [], 0
+    while len(data) - start > media.LEAST:
+        last = min(start + media.MOST, len(data))
+        start = next((j for j in range(start + media.LEAST, last + 1) if not hashes[j - 1] & int(media.MASK)), last)
+        want.append(start)
+    if start < len(data):
+        want.append(len(data))
+    assert media.cuts(data) == want and media.cuts(b"") == [] and media.cuts(b"x") == [1]
+
+
+def test_media(spark, docs, rows, none):
+    folder = shared_dir(spark, "media")
+    recipes, places = media.store(docs, folder)
+    assert places.select("digest").distinct().count() < recipes.count()
+    got = media.describe(media.restore(recipes, places, folder)).collect()
+    want = Counter()
+    for r in rows:
+        raw = (r[1] or "").encode()
+        payload = raw + bytes((-len(raw)) % 64 if raw else 64)
+        stored = media.wav(payload)
+        want[(r[0], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), media.feature(payload))] += 1
+    assert Counter(map(tuple, got)) == want
+    recipes, places = media.store(none, shared_dir(spark, "media"))
+    assert media.restore(recipes, places, folder).count() == 0
+
+
+def test_toxicity(spark, rows, none):
+    rng = random.Random(8)
+    bad = ["grobbel", "snarkot", "vilenz"]
+    texts, labels = [], []
+    for i in range(900):
+        words = prose(rng, 60).split()
+        toxic = i % 5 == 0
+        if toxic:
+            for _ in range(5):
+                words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", "", "eiz", "!"]))
+        texts.append((i, " ".join(words), i))
+        labels.append((i, int(toxic), None if i == 7 else "x"))
+    odd = [(5000, None, 1), (5001, "", 1), (5002, "   ", 1), (None, "some text", 1), (5003, "you gr0bbel " * 30, 1)]
+    docs = spark.createDataFrame(texts + odd, "doc_id long, text string, score long")
+    marks = spark.createDataFrame([*labels, (None, 1, "y"), (8, None, "z")], "doc_id long, toxic int, text string")
+    lexicon, model = toxicity.learn(docs, marks)
+    assert any(w.startswith("grobb") for w in lexicon)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, lexicon, model).collect()}
+    assert len(got) == len(texts) + len(odd) and all(0 <= s <= 1 for s in got.values())
+    held = [i for i in range(900) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert np.mean([(got[i] >= toxicity.CUTOFF) == (i % 5 == 0) for i in held]) > 0.95
+    assert got[5003] >= toxicity.CUTOFF and got[5001] < 0.5
+    lexicon, model = toxicity.learn(docs, marks.where("false"))
+    assert {r["score"] for r in toxicity.score(docs, lexicon, model).collect()} == {0.0}
+    assert toxicity.score(none, lexicon, model).count() == 0
+
+
+def test_isotonic():
+    f = trees.Isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
+    assert f(np.array([1.0, 2.5, 4])).tolist() == [0, 0.5, 1]
+
+
+def test_stages_keep_columns(spark, files, none):
+    for stage in (quality.keep_good, simhash.keep_one, secrets.redact, mixing.take):
+        assert stage(files).columns == files.columns
+        assert stage(none).count() == 0
+    one = simhash.keep_one(files).collect()
+    tops = groups([plain_fingerprint(r["text"]) for r in one])
+    assert tops == list(range(len(one)))
+    taken = Counter((r["doc_id"], r["text"]) for r in mixing.take(files.where("doc_id < 300")).collect())
+    want = Counter()
+    texts = {r["doc_id"]: r["text"] for r in files.collect()}
+    for r in mixing.mix(files.where("doc_id < 300")).collect():
+        if r["taken"]:
+            want[(r["doc_id"], texts[r["doc_id"]])] += r["taken"] // r["size"]
+    assert taken == want
+
+
+def test_pipeline_rows(spark, files):
+    """Every stage on what the one before kept; the packed pieces hold exactly the ids of the mixed texts."""
+    import corpus_pipeline
+
+    from quillgraph.llm.common import materialize
+
+    docs = files.select("doc_id", "text", "lang", "source", "n_chars")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, ""), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        kept[name] = docs
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+    want = Counter()
+    for r in docs.collect():
+        ids = plain_ids(WORDS, r["text"])
+        want.update((r["doc_id"], a, crc(ids[a : a + 4096])) for a in range(0, len(ids), 4096))
+    assert Counter((r["doc_id"], r["start"], r["ids_crc32"]) for r in pieces) == want
+    assert {r["doc_id"] for r in kept["source_mix"].collect()} <= {r["doc_id"] for r in kept["near_duplicates"].collect()}
