@@ -103,7 +103,7 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     Joining plain wedges would make the sum of squared degrees.
     """
     both = materialize(to_undirected(edges.select("src", "dst")).where("src <> dst").distinct(), "both")
-    degree = materialize(out_degree(both), "degree")
+    degree = out_degree(both)
     a, b = (degree.select(F.col("v").alias(c), F.col("degree").alias(f"{c}_degree")) for c in ("src", "dst"))
     rising = both.join(a, "src").join(b, "dst").where(F.struct("src_degree", "src") < F.struct("dst_degree", "dst")).select(F.col("src").alias("a"), F.col("dst").alias("b"))
     rising = materialize(rising, "rising")

@@ -37,11 +37,14 @@ def init_walkers(spark, walkers: int, vertices: int, round_: int = 0) -> DataFra
 
 def draw_local(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
     """Draws over a broadcast adjacency."""
-    edges = chances.select("src", "dst", "accept").toPandas().sort_values(["src", "dst"], kind="stable")
-    top = int(max(edges["src"].max(), edges["dst"].max())) + 1 if len(edges) else 0
-    offsets = np.concatenate([[0], np.cumsum(np.bincount(edges["src"], minlength=top))]) if len(edges) else np.zeros(1, np.int64)
+    edges = chances.select("src", "dst", "accept").toArrow()
+    src, dst, accept = (edges.column(c).to_numpy() for c in ("src", "dst", "accept"))
+    order = np.lexsort((dst, src))
+    src, dst, accept = src[order], dst[order].astype(np.int64), accept[order].astype(np.float64)
+    top = int(max(src.max(), dst.max())) + 1 if len(src) else 0
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=top))]) if len(src) else np.zeros(1, np.int64)
     sc = walkers.sparkSession.sparkContext
-    shared = sc.broadcast((offsets, edges["dst"].to_numpy(np.int64), edges["accept"].to_numpy(np.float64)))
+    shared = sc.broadcast((offsets, dst, accept))
 
     def run(batches):
         offs, dst, accept = shared.value
@@ -101,8 +104,7 @@ def draw_joined(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRA
 
 
 def draw(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
-    """Draws of walkers(round, walker, cur), by the way that the counted edges allow."""
-    chances = materialize(chances.select("src", "dst", "accept"), "chances")
+    """Draws of walkers(round, walker, cur) over written chances, by the way that the counted edges allow."""
     few = chances.count() <= broadcast_edges
     return (draw_local if few else draw_joined)(walkers, chances, max_draws, salt)
 
@@ -137,10 +139,27 @@ def cut(rows: DataFrame, min_steps: int = MIN_STEPS, bound: float = CORR_BOUND)
     return rows.where(F.col("stop").isNull() | (F.col("step") <= F.col("stop"))).withColumn("capped", F.col("stop").isNull())
 
 
+#: Draws after which nearly every walk has stopped: the rest are drawn again up to the cap.
+FIRST_DRAWS = 24
+
+
 def entropy_walk(walkers: DataFrame, chances: DataFrame, min_steps: int = MIN_STEPS, bound: float = CORR_BOUND, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
-    """round, walker, step, vertex, h, r, capped."""
-    draws = materialize(draw(walkers, chances, max_draws, salt), "draws")
-    return cut(running(visits(walkers, draws)), min_steps, bound).drop("k", "stop")
+    """round, walker, step, vertex, h, r, capped.
+
+    Whether a walk stops depends on its start only, so all walkers make a few draws, and those that have not stopped
+    by then are walked again, to the cap.
+    """
+    chances = materialize(chances.select("src", "dst", "accept"), "chances")
+
+    def go(some: DataFrame, draws: int) -> DataFrame:
+        made = materialize(draw(some, chances, draws, salt), "draws")
+        return cut(running(visits(some, made)), min_steps, bound).drop("k", "stop")
+
+    if max_draws <= FIRST_DRAWS:
+        return go(walkers, max_draws)
+    first = materialize(go(walkers, FIRST_DRAWS), "walks")
+    left = first.where("capped and step = 0").select("round", "walker", F.col("vertex").alias("cur"))
+    return first.where("not capped").unionByName(go(materialize(left, "walkers"), max_draws))
 
 
 def paths(seen: DataFrame) -> DataFrame:
