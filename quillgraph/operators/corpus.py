@@ -19,7 +19,7 @@ def vocab_rank(counts: DataFrame) -> DataFrame:
 
 def partition_freq_rank(owned: DataFrame) -> DataFrame:
     """v, cn, part -> the rank of each vertex inside its part."""
-    return owned.withColumn("rank", F.row_number().over(Window.partitionBy("part").orderBy(F.desc("cn"), "v")) - 1)
+    return owned.withColumn("rank", (F.row_number().over(Window.partitionBy("part").orderBy(F.desc("cn"), "v")) - 1).cast("long"))
 
 
 def freq_blocks(ranked: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import xlog2x
@@ -219,8 +219,10 @@ def _weight_buckets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return materialize(rows, "buckets"), heads
 
 
-def weighted_walk(walkers: DataFrame, edges: DataFrame, length: int, second_order: bool = False, salt: int = 7) -> DataFrame:
-    """Fixed-length walks by edge weight: round, walker, step, vertex.
+def weighted_walk(walkers: DataFrame, edges: DataFrame, length: int, second_order: bool = False, salt: int = 7, ends: Column | None = None) -> DataFrame:
+    """Walks of at most ``length`` steps by edge weight: round, walker, step, vertex.
+
+    ``ends``: the chance that a walk ends where it stands, an expression over round, walker, step, cur and prev.
 
     A walker takes the first neighbour (by dst) whose running weight passes a uniform share of the whole. Second order:
     neighbours are distinct and count alike, but the one it came from counts twice. A walker without neighbours stays out of later steps.
@@ -237,6 +239,8 @@ def weighted_walk(walkers: DataFrame, edges: DataFrame, length: int, second_orde
     out = now.select("round", "walker", F.lit(0).alias("step"), F.col("cur").alias("vertex"))
     for k in range(length):
         share = uniform(salt, F.col("round"), F.col("walker"), k, "w")
+        if ends is not None:
+            now = now.withColumn("step", F.lit(k)).where(uniform(salt, F.col("round"), F.col("walker"), k, "e") >= ends).drop("step")
         met = now.join(heads, "cur")
         if second_order:
             met = met.join(places, ["cur", "prev"], "left").withColumn("back", F.coalesce("back", F.lit(0)))

@@ -293,3 +293,10 @@ def test_weighted_walk_equals_python(spark, second):
                     break
             cur, prev = x, cur
             assert got[(v, k + 1)] == cur
+
+
+def test_walks_end_by_chance(spark, t1):
+    und = edges.to_undirected(t1).withColumn("w", F.lit(1.0))
+    walkers = spark.createDataFrame([(0, v, v) for v in range(5)], "round int, walker long, cur long")
+    ended = walk.weighted_walk(walkers, und, 6, ends=F.when(F.col("step") >= 2, 1.0).otherwise(0.0))
+    assert {r["walker"]: r["n"] for r in ended.groupBy("walker").agg(F.max("step").alias("n")).collect()} == {v: 2 for v in range(5)}
