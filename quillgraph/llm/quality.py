@@ -215,7 +215,10 @@ def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
             for part in rows_of(batch, 8 << 20, "quality_text"):
                 texts = [x or "" for x in pylist(part, "quality_text")]
                 rows = [base(x) for x in texts]
-                rate = [bits(x.encode(), _arrays(folder, lang)) / row[0] if row[0] else None for x, lang, row in zip(texts, pylist(part, "quality_lang"), rows)]
+                langs, rate = pylist(part, "quality_lang"), [None] * len(texts)
+                for i in sorted(range(len(texts)), key=langs.__getitem__):  # a language's arrays are loaded once a part
+                    if rows[i][0]:
+                        rate[i] = bits(texts[i].encode(), _arrays(folder, langs[i])) / rows[i][0]
                 counts = [pa.array(c, pa.int64()) for c in zip(*rows)]
                 part = part.drop_columns(["quality_text"])
                 yield pa.RecordBatch.from_arrays([*part.columns, *counts, pa.array(rate, pa.float64())], names)
