@@ -10,8 +10,10 @@ a language's arrays when it meets its first document.
 
 Bands: the logarithm of a document's bits per word (the binary logarithm of its perplexity) must lie within ``FENCE``
 interquartile ranges of the quartiles of its language and length class (the power of two below n_words); a class of fewer than
-``CLASS_ROWS`` documents is judged by its language's quartiles. Quartiles are exact over bins of 0.001,
-of all documents that pass the other rules.
+``CLASS_ROWS`` texts is judged by its language's quartiles. Quartiles are exact over bins of 0.001,
+of all distinct texts that pass the other rules: a text counts once, so a group of copies cannot make the band its own.
+The model counts every row and so learns a text of many copies by heart; where a text's copies are a quarter of a class of
+``CLASS_ROWS`` rows or more, its low perplexity tells nothing about it and only the upper end of the band applies.
 
 Nulls: a null text is the empty text (no words: it fails the rule on words); a null lang is a language of
 its own. Repeated rows are judged alike, each counted. No rows: no rows. Extra columns are ignored.
@@ -31,6 +33,8 @@ from .common import filesystem, materialize, pylist, rows_of, shared_dir, small_
 
 ORDER = 5
 FENCE, CLASS_ROWS, BIN = 3.0, 100, 0.001
+#: A text whose copies are this share of its class's rows is not rejected for a low perplexity.
+LEARNT = 0.25
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
 #: A key of n bytes, n > 3, is the top 24 bits of its product with this odd number, modulo 2^40.
@@ -204,9 +208,9 @@ MEASURES = {"quality_n_words": "n_words", "quality_word_chars": "word_chars", "q
 
 
 def measure(docs: DataFrame, folder: str, keep: list[str]) -> DataFrame:
-    """documents(text, lang, ...) -> the columns ``keep`` as they are, quality_lang, and MEASURES."""
+    """documents(text, lang, ...) -> the columns ``keep`` as they are, quality_lang, quality_hash (of the text), and MEASURES."""
     small_batches(docs.sparkSession)
-    kept = docs.select(*keep, F.col("text").alias("quality_text"), F.coalesce("lang", F.lit("")).alias("quality_lang"))
+    kept = docs.select(*keep, F.col("text").alias("quality_text"), F.coalesce("lang", F.lit("")).alias("quality_lang"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("quality_hash"))
     schema = T.StructType([*kept.drop("quality_text").schema.fields, *[T.StructField(x, T.DoubleType() if x == "quality_bits" else T.LongType()) for x in MEASURES]])
     names = [f.name for f in schema.fields]
 
@@ -235,8 +239,12 @@ def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
     rows = materialize(measure(docs, folder, keep).withColumn("quality_base_failed", failed), "quality")
     rows = rows.withColumn("quality_class", F.floor(F.log2(F.greatest(words, F.lit(1)))).cast("int"))
     by = ["quality_lang", "quality_class"]
-    bins = rows.where("not quality_base_failed and quality_bits > 0").groupBy(*by, F.floor(F.log("quality_bits") / BIN).alias("bin")).agg(F.count("*").alias("n"))
-    bins = materialize(bins, "bins")
+    texts = rows.where("not quality_base_failed and quality_bits > 0").groupBy(*by, F.floor(F.log("quality_bits") / BIN).alias("bin"), "quality_hash").agg(F.count("*").alias("copies"))
+    texts = materialize(texts, "quality-texts")
+    bins = materialize(texts.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")), "bins")
+    sizes = bins.groupBy(*by).agg(F.sum("rows").alias("rows")).where(F.col("rows") >= CLASS_ROWS)
+    # at most 1 / LEARNT texts a class
+    learnt = texts.join(F.broadcast(sizes), by).where(F.col("copies") >= LEARNT * F.col("rows")).select(*by, "quality_hash", F.lit(True).alias("quality_learnt"))
 
     def quartiles(t: DataFrame, *by: str) -> DataFrame:
         t = t.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
@@ -247,11 +255,11 @@ def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
     classes = quartiles(bins, *by).where(F.col("n") >= CLASS_ROWS).select(*by, F.struct("q1", "q3").alias("quality_own"))
     langs = quartiles(bins, "quality_lang").select("quality_lang", F.struct("q1", "q3").alias("quality_all"))
     # a row a language and length class
-    rows = rows.join(F.broadcast(langs), "quality_lang", "left").join(F.broadcast(classes), by, "left")
+    rows = rows.join(F.broadcast(langs), "quality_lang", "left").join(F.broadcast(classes), by, "left").join(F.broadcast(learnt), [*by, "quality_hash"], "left")
     band = F.coalesce("quality_own", "quality_all")
     width = F.greatest(band["q3"] - band["q1"], F.lit(BIN)) * fence
     value = F.log("quality_bits")
-    inside = (value >= band["q1"] - width) & (value <= band["q3"] + width)
+    inside = ((value >= band["q1"] - width) | F.col("quality_learnt").isNotNull()) & (value <= band["q3"] + width)
     return rows.select(*keep, "quality_lang", *MEASURES, "quality_base_failed", (~F.col("quality_base_failed") & F.coalesce(inside, F.lit(False))).alias("quality_kept"))
 
 

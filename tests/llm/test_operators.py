@@ -240,6 +240,15 @@ def test_perplexity_bands_reject_noise(spark):
     assert not any(got[1000 + i] for i in range(3)) and np.mean([got[i] for i in range(150)]) > 0.97
 
 
+def test_bands_of_a_class_of_copies(spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 100), "en") for i in range(150)]
+    copied = prose(rng, 100)
+    docs = spark.createDataFrame([*rows, *[(1000 + i, copied, "en") for i in range(600)]], "doc_id long, text string, lang string")
+    kept = [r["doc_id"] for r in quality.keep_good(docs).collect()]
+    assert sum(i < 1000 for i in kept) >= 140 and sum(i >= 1000 for i in kept) == 600
+
+
 @pytest.mark.parametrize("shard", [substring.SHARD, 1])
 def test_substring(spark, docs, rows, none, shard):
     first = {}
