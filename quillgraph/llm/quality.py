@@ -3,10 +3,10 @@
 The language model is a modified Kneser-Ney model over bytes, one for each language, of order five.
 Its counts are Spark aggregates over every byte of every document: tasks add up their own n-grams,
 Spark sums them, takes continuation counts, discounts (from the counts of counts one to four), back-off
-weights and interpolated probabilities order by order, and stores the model as arrays sorted by the n-gram's key of at
-most 24 bits (its bytes up to three, a hash above; the rarer of two n-grams with one key is lost), in the shared
-folder. So a language's model has at most 2^24 entries an order, whatever the corpus; a worker loads
-a language's arrays when it meets its first document.
+weights and interpolated probabilities order by order, and stores the model as arrays sorted by the n-gram itself
+(its bytes as a number: 32 bits up to order three, 64 above), in the shared folder. No n-gram is lost or taken for
+another, so a language's model grows with its distinct n-grams; a worker loads a language's arrays when it meets its
+first document.
 
 Bands: the logarithm of a document's bits per word (the binary logarithm of its perplexity) must lie within ``FENCE``
 interquartile ranges of the quartiles of its language and length class (the power of two below n_words); a class of fewer than
@@ -25,7 +25,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,9 +37,6 @@ FENCE, CLASS_ROWS, BIN = 3.0, 100, 0.001
 LEARNT = 0.25
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS, SPACES = "#*$%&|<>", " \t\n\x0b\x0c\r"
-#: A key of n bytes, n > 3, is the top 24 bits of its product with this odd number, modulo 2^40.
-_MULTIPLIER = 0x9E3779B97F4A7C15 & ((1 << 22) - 1)
-_FORTY, _TOP = (1 << 40) - 1, 16
 
 
 def base(text: str) -> tuple[int, int, int, int, int]:
@@ -77,18 +74,9 @@ def grams(raw: bytes) -> np.ndarray:
     return out
 
 
-def hashed(key: np.ndarray, n: int) -> np.ndarray:
-    """Model keys of n-grams."""
-    if n <= 3:
-        return key
-    return ((key * np.uint64(_MULTIPLIER)) & np.uint64(_FORTY)) >> np.uint64(_TOP)
-
-
-def _hashed(key: Column, n: int) -> Column:
-    if n <= 3:
-        return key
-    # the product stays below 2^63: 40 bits and 22 bits
-    return F.shiftright((key * F.lit(_MULTIPLIER)).bitwiseAND(F.lit(_FORTY)), _TOP)
+def key_type(n: int) -> tuple[str, type]:
+    """Spark's and numpy's type of the keys of n-grams of n bytes."""
+    return ("int", np.int32) if n <= 3 else ("long", np.int64)
 
 
 def count_grams(docs: DataFrame) -> DataFrame:
@@ -155,10 +143,8 @@ def build_model(docs: DataFrame, folder: str) -> None:
         p = (F.col("n") - F.col("off")) / F.col("total") + F.col("weight") * F.col("below")
         probs = materialize(rows.select("lang", "gram", "n", p.alias("p")), "probs")
         lower = probs.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
-        stored = probs.groupBy("lang", _hashed(F.col("gram"), n).alias("key")).agg(F.max_by("p", F.struct("n", "gram")).alias("value"))
-        weights = contexts.groupBy("lang", _hashed(F.col("context"), n - 1).alias("key")).agg(F.max_by("weight", F.struct("total", "context")).alias("value"))
-        for kind, t in (("p", stored), ("g", weights)):
-            t = t.select("lang", F.col("key").cast("int").alias("key"), F.log2("value").cast("float").alias("value"))
+        for kind, t, size, value in (("p", probs.withColumnRenamed("gram", "key"), n, "p"), ("g", contexts.withColumnRenamed("context", "key"), n - 1, "weight")):
+            t = t.select("lang", F.col("key").cast(key_type(size)[0]).alias("key"), F.log2(value).cast("float").alias("value"))
             t.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key").write.parquet(f"{folder}/kind={kind}/order={n}")
 
 
@@ -174,8 +160,10 @@ def _arrays(folder: str, lang: str) -> list[tuple[np.ndarray, ...]]:
             fs, path = filesystem(f"{folder}/kind={kind}/order={n}")
             t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "value"], filter=ds.field("lang") == lang)
             keys, values = t.column("key").to_numpy(), t.column("value").to_numpy()
-            order = np.argsort(keys, kind="stable")
-            own += [keys[order], values[order]]
+            if len(keys) and (keys[1:] < keys[:-1]).any():  # files are read in their order, which is the keys'
+                order = np.argsort(keys, kind="stable")
+                keys, values = keys[order], values[order]
+            own += [keys, values]
         out.append(tuple(own))
     return out
 
@@ -189,14 +177,14 @@ def bits(raw: bytes, model: list[tuple[np.ndarray, ...]]) -> float:
         for n in range(ORDER, 0, -1):
             keys, values, contexts, weights = model[n - 1]
             gram = left & np.uint64((1 << 8 * n) - 1)
-            key = hashed(gram, n).astype(np.int32)
+            key = gram.astype(key_type(n)[1])
             at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
             hit = keys[at] == key
             total -= float(values[at[hit]].sum(dtype=np.float64))
             left, gram = left[~hit], gram[~hit]
             if not len(left):
                 break
-            key = hashed(gram >> np.uint64(8), n - 1).astype(np.int32)
+            key = (gram >> np.uint64(8)).astype(key_type(n - 1)[1])
             at = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
             total -= float(weights[at[contexts[at] == key]].sum(dtype=np.float64))
         total += 8.0 * len(left)

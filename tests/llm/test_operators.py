@@ -240,6 +240,25 @@ def test_perplexity_bands_reject_noise(spark):
     assert not any(got[1000 + i] for i in range(3)) and np.mean([got[i] for i in range(150)]) > 0.97
 
 
+def test_model_keeps_every_gram(spark):
+    """Two n-grams whose products with a multiplier agree in 24 bits are two entries, and neither is taken for another."""
+    by, whole = 0x9E3779B97F4A7C15 & ((1 << 22) - 1), 1 << 40
+    first = int.from_bytes(b"the m", "big")
+    twins = [(((first * by % whole) >> 16 << 16) + d) * pow(by, -1, whole) % whole for d in range(1 << 16)]
+    twins = [raw for raw in (x.to_bytes(5, "big") for x in twins) if raw.isascii() and raw != b"the m" and b"\n" not in raw]
+    seen, unseen = twins[0], twins[1]
+    texts = [("the model " * 30) + seen.decode(), "another text of the same words"]
+    folder = shared_dir(spark, "model")
+    quality.build_model(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), folder)
+    model = quality._arrays(folder, "en")
+    every = {x for t in texts for x in quality.grams(t.encode()).tolist()}
+    assert len(model[4][0]) == len(every)
+    chance = plain_model([t.encode() for t in texts])
+    for raw in (seen, unseen):
+        b = b"\n" * 4 + raw
+        assert quality.bits(raw, model) == pytest.approx(-sum(np.log2(chance(b[i : i + 5])) for i in range(5)), rel=1e-5)
+
+
 def test_bands_of_a_class_of_copies(spark):
     rng = random.Random(8)
     rows = [(i, prose(rng, 100), "en") for i in range(150)]
