@@ -33,9 +33,9 @@ AROUND = 60
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/\-]{14,}={0,2}")
-_ASSIGNED = re.compile(r"[=:][ \t]{0,4}[\"'`]?([^\s\"'`,;<>()]{6,200})")
+_ASSIGNED = re.compile(r"[=:][ \t]{0,4}[\"'`]?([^\s\"'`,;<>()]{6,})")
 _NAME = re.compile(r"([A-Za-z_][\w.\-]{1,40})[\"'`]?[ \t]{0,4}$")
-_BLOCK = re.compile(r"-----BEGIN ([A-Z ]{0,20})PRIVATE KEY-----.{0,8192}?-----END [A-Z ]{0,20}PRIVATE KEY-----", re.S)
+_BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
 _WORDS = re.compile(r"[A-Za-z]+")
 #: Beginnings of issued keys, names of secrets, and words beside strings that are none; fixed values.
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk-", "sk_live_", "rk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "npm_", "pypi-", "SG.", "hf_")
@@ -60,9 +60,12 @@ def _dictionary() -> tuple[frozenset, np.ndarray]:
 
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, length, kind), in order, none inside another."""
-    spans = []
+    spans, begin = [], None
     if "-----BEGIN" in text:
-        spans += [(m.start(), m.end(), "private_key") for m in _BLOCK.finditer(text)]
+        for m in _BLOCK.finditer(text):  # from an end back to the last beginning before it
+            if m.group(1) == "END" and begin is not None:
+                spans.append((begin, m.end(), "private_key"))
+            begin = m.start() if m.group(1) == "BEGIN" else None
     for m in _ASSIGNED.finditer(text):
         if _NAME.search(text[max(0, m.start() - 50) : m.start()]) and not text.startswith("://", m.start()):
             spans.append((m.start(1), m.end(1), "assigned"))
