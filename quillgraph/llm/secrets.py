@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-Candidates are private key blocks, values assigned to a name (``name = "value"``), and long runs of
-key-like characters. A candidate's features are its length and character classes, its transitions between
+Candidates are private key blocks, values assigned to a name (``name = "value"``), also inside such a
+value (``url=https://host/?token=value``), and long runs of key-like characters. All are scored, nested ones too;
+of those accepted, one inside others is left to them. A candidate's features are its length and character classes, its transitions between
 classes and between letters, the share that dictionary words cover, the path it comes from, and the
 words around it. The forest is trained on labelled findings: (context, start, length, path, label) rows
 given by the caller, or by default the bounded set that ``labelled_findings`` builds from templates
@@ -34,6 +35,7 @@ MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/\-]{14,}={0,2}")
 _ASSIGNED = re.compile(r"[=:][ \t]{0,4}[\"'`]?([^\s\"'`,;<>()]{6,})")
+_INNER = re.compile(r"[A-Za-z_][\w.\-]{1,40}[=:](?!//)")
 _NAME = re.compile(r"([A-Za-z_][\w.\-]{1,40})[\"'`]?[ \t]{0,4}$")
 _BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
 _WORDS = re.compile(r"[A-Za-z]+")
@@ -58,8 +60,25 @@ def _dictionary() -> tuple[frozenset, np.ndarray]:
     return frozenset(w for w in WORDS if len(w) > 2), np.log2(counts / counts.sum(axis=1, keepdims=True))
 
 
+def _inside(text: str, start: int, end: int):
+    """(start, end) of the values assigned inside an assigned value.
+
+    In each part between ``&`` the first value reaches to the part's end and every value to the next
+    name, so that the values together are at most twice as long as the whole.
+    """
+    while start < end:
+        stop = text.find("&", start, end)
+        stop = end if stop < 0 else stop
+        names = [m.span() for m in _INNER.finditer(text, start, stop)]
+        if names:
+            yield names[0][1], stop
+        for (_, a), (b, _) in zip(names, [*names[1:], (stop, stop)]):
+            yield a, b
+        start = stop + 1
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, length, kind), in order, none inside another."""
+    """(start, length, kind), in order, the longer first; some lie inside others, each span once."""
     spans, begin = [], None
     if "-----BEGIN" in text:
         for m in _BLOCK.finditer(text):  # from an end back to the last beginning before it
@@ -69,17 +88,15 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
     for m in _ASSIGNED.finditer(text):
         if _NAME.search(text[max(0, m.start() - 50) : m.start()]) and not text.startswith("://", m.start()):
             spans.append((m.start(1), m.end(1), "assigned"))
+        spans += [(a, b, "assigned") for a, b in _inside(text, *m.span(1)) if b - a >= 6]
     for m in _RUN.finditer(text):
         run = m.group()
         if run.startswith(PREFIXES) or (any(c.isdigit() for c in run) and any(c.isalpha() for c in run)):
             spans.append((m.start(), m.end(), "run"))
-    spans.sort(key=lambda s: (s[0], -s[1]))
-    out, end = [], 0
+    kinds: dict = {}
     for a, b, kind in spans:
-        if a >= end:
-            out.append((a, b - a, kind))
-            end = b
-    return out
+        kinds.setdefault((a, b), kind)
+    return [(a, b - a, kinds[a, b]) for a, b in sorted(kinds, key=lambda s: (s[0], -s[1]))]
 
 
 def _kind(c: str) -> int:
@@ -180,6 +197,16 @@ def scan_texts(texts: list[str], paths: list[str | None], forest: Forest) -> lis
     return [[(*c, next(scores)) for c in cs] for cs in found]
 
 
+def accepted(spans: list[tuple[int, int, str, float]], cutoff: float) -> list[bool]:
+    """Which of a text's scored candidates count: those that reach the cutoff and are not inside others that do."""
+    out, end = [], 0
+    for a, n, _, score in spans:
+        out.append(score >= cutoff and a + n > end)
+        if out[-1]:
+            end = a + n
+    return out
+
+
 def scan(docs: DataFrame, path_column: str = "source", forest: Forest | None = None, cutoff: float = CUTOFF) -> DataFrame:
     """documents(doc_id, text, path) -> doc_id, start, length (characters), kind, score, accepted: a row a candidate."""
     forest = forest or default_forest()
@@ -188,7 +215,7 @@ def scan(docs: DataFrame, path_column: str = "source", forest: Forest | None = N
         for batch in batches:
             for part in rows_of(batch, 8 << 20):
                 found = scan_texts(pylist(part, "text"), pylist(part, "path"), forest)
-                rows = [(d, *f, f[3] >= cutoff) for d, fs in zip(pylist(part, "doc_id"), found) for f in fs]
+                rows = [(d, *f, ok) for d, fs in zip(pylist(part, "doc_id"), found) for f, ok in zip(fs, accepted(fs, cutoff))]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "kind", "score", "accepted"])
@@ -212,11 +239,12 @@ def redact(docs: DataFrame, path_column: str = "source", forest: Forest | None =
                 found = scan_texts([t or "" for t in texts], [None if p is None else str(p) for p in pylist(part, path_column)], forest)
                 changed = {}
                 for i, spans in enumerate(found):
-                    spans = [s for s in spans if s[3] >= cutoff]
+                    spans = [s for s, ok in zip(spans, accepted(spans, cutoff)) if ok]
                     if spans:
                         text, out, end = texts[i], [], 0
                         for a, n, _, _ in spans:
-                            out += [text[end:a], MASK]
+                            if a >= end:  # else it goes on from the one before
+                                out += [text[end:a], MASK]
                             end = a + n
                         changed[i] = "".join(out) + text[end:]
                 if changed:

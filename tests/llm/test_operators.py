@@ -341,6 +341,25 @@ def test_unended_blocks():
     assert not [c for c in secrets.candidates((begin + "\n") * 20_000) if c[2] == "private_key"]
 
 
+class ByPrefix:
+    """In place of the forest: accepts what begins like an issued key."""
+
+    def predict(self, x):
+        return x[:, 14]
+
+
+def test_secrets_inside_rejected_values():
+    issued = "ghp_" + "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC2dF4hJ6"
+    for text in (f"callback=https://host/cb?access_token={issued}", f"callback=https://host/cb?user_name=someone&access_token={issued}&state=abcdefgh now"):
+        (spans,) = secrets.scan_texts([text], ["src"], ByPrefix())
+        kept = [text[a : a + n] for (a, n, _, _), ok in zip(spans, secrets.accepted(spans, 0.5)) if ok]
+        assert kept == [issued]
+    spans = [(0, 20, "assigned", 0.9), (5, 10, "run", 0.9), (18, 9, "run", 0.9), (30, 9, "run", 0.1), (32, 6, "run", 0.8)]
+    assert secrets.accepted(spans, 0.5) == [True, False, True, False, True]
+    text = "x=" + "ab=ab:" * 20_000 + "&cd=" + issued
+    assert sum(n for _, n, _ in secrets.candidates(text)) <= 4 * len(text)
+
+
 def plain_fingerprint(text):
     import xxhash
 
