@@ -679,10 +679,10 @@ def nearest_neighbours(spark, d):
 
 @query()
 def linkpred_auc(spark, d):
-    """Cosines of the walk vectors of edges against non-edges."""
+    """Cosines of the walk vectors of edges against as many non-edges."""
     vectors = _vectors(spark, d)[0]
     g, _ = dense(spark, d)
-    bad = linkpred.negatives(g, 5000)
+    bad = linkpred.negatives(g, g.count())
     pairs = g.select("src", "dst").withColumn("label", F.lit(1)).unionByName(bad.withColumn("label", F.lit(0)))
     a = vectors.select(F.col("v").alias("src"), F.col("vec").alias("a"))
     b = vectors.select(F.col("v").alias("dst"), F.col("vec").alias("b"))

@@ -34,6 +34,14 @@ def test_equals_sql(spark, duck, name):
     assert rows_of(got) == rows_of(want)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no test data")
+def test_linkpred_auc_asks_for_a_negative_an_edge(spark, monkeypatch):
+    asked, real = [], graph.linkpred.negatives
+    monkeypatch.setattr(graph.linkpred, "negatives", lambda g, n: asked.append((g.count(), n)) or real(g, n))
+    assert 0 <= graph.QUERIES["linkpred_auc"](spark, DATA).collect()[0]["auc"] <= 1
+    assert len(asked) == 1 and asked[0][0] == asked[0][1]
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
