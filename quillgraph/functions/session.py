@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; a folder of our own is set only where that is unset."""
+    """A new folder's URI below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own;
+    on a cluster executors would not share one, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     if "://" not in root:
@@ -21,9 +24,9 @@ def shared_dir(spark: SparkSession, name: str) -> str:
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
-    """Cuts lineage by a Parquet table in the shared folder, which outlives executors."""
+    """Cuts lineage by a Parquet table in the shared folder; a lost executor does not lose it."""
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -49,11 +52,17 @@ def numbered(df: DataFrame, *order, name: str = "n") -> DataFrame:
 
 def running_sum(df: DataFrame, value: str, *order, name: str = "upto") -> DataFrame:
     """Adds the inclusive running sum of ``value`` in the given total order, in two levels like numbered()."""
+    return running_sums(df, {name: value}, *order)
+
+
+def running_sums(df: DataFrame, values: dict[str, str], *order) -> DataFrame:
+    """Adds the inclusive running sum of each column of ``values`` (name -> column) in the given total order."""
     spark = df.sparkSession
     rows = df.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
     rows = materialize(rows.withColumn("_part", F.spark_partition_id()), "running")
-    sizes = rows.groupBy("_part").agg(F.sum(value).alias("_size"))
-    before = F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    bases = F.broadcast(sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_base")))  # a row a partition
-    inside = F.sum(value).over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(bases, "_part").withColumn(name, inside + F.col("_base")).drop("_part", "_base")
+    sizes = rows.groupBy("_part").agg(*[F.sum(v).alias(f"_size_{n}") for n, v in values.items()])
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = sizes.select("_part", *[F.coalesce(F.sum(f"_size_{n}").over(before), F.lit(0)).alias(f"_base_{n}") for n in values])
+    inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    summed = rows.join(F.broadcast(bases), "_part")  # a row a partition
+    return summed.withColumns({n: F.sum(v).over(inside) + F.col(f"_base_{n}") for n, v in values.items()}).drop("_part", *[f"_base_{n}" for n in values])

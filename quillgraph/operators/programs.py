@@ -59,9 +59,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Alternating large and small stars: rounds grow with the logarithm of the diameter, not the diameter.
     """
-    everyone = vertices_of(edges)
-    links = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).where("a > b").distinct(), "links")
-    mark = None
+    given = materialize(edges.select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "given")
+    everyone = vertices_of(given.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    links, mark = given.where("a > b"), None
     for _ in range(most_rounds):
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).collect()[0])
         if not now[0] or now == mark:
