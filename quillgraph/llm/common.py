@@ -7,7 +7,6 @@ so everything that must outlive a stage is written there, never to a local tempo
 from __future__ import annotations
 
 import contextlib
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -15,35 +14,20 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A word: a run of bytes other than space and the ASCII controls 0x09-0x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from ..functions.session import materialize, shared_dir, shuffle_partitions
+from ..sources.graphs import table
 
+__all__ = ["WORD", "filesystem", "fresh", "make_dir", "materialize", "pylist", "rows_of", "shared_dir", "shuffle_partitions", "small_batches", "table", "text_rows", "whole_file"]
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir. A folder of our own is set only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="quill-shared-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if "://" not in root:
-        root = "file://" + root
-    return f"{root.rstrip('/')}/quill-{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
-    """Cuts lineage by a Parquet table in the shared folder; a lost executor does not lose it."""
-    path = shared_dir(df.sparkSession, name)
-    writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: A word: a run of bytes other than space and the ASCII controls 0x09-0x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def fresh(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
 
 
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
