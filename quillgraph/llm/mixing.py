@@ -2,13 +2,13 @@
 
 Every source is a queue of its documents in a shuffled order (by md5 of the doc_id), played up to
 ``most_repeats`` times. A copy's virtual finish time is the queue's words up to and with it,
-divided by the source's target; all copies, in order of finish time, are taken until the words taken
-reach the budget. Both the running sums in a queue and the order over all queues are made in two
-levels: exact sums of fixed buckets of the sort key first (one small row a bucket), then windows
-within a bucket, so neither a hot source nor the global order ever meets in one task.
+divided by the source's target; all copies are range-sorted by finish time and cut off where the words taken
+reach the budget. Both the running sums of the queues and those of the global order are made in two
+levels: the rows are dealt by ranges of a sort key that no two rows share, summed in a range, and based on the sums of the
+ranges before (a small row a range), so neither a hot source, nor a repeated doc_id, nor the global order meets in one task.
 
 Nulls: a null text has size 0; a null source is a source of its own, last in the order of sources.
-Repeated rows (the same doc_id and source) are entries of their own and get the same order key; the
+Repeated rows (the same doc_id and source) are entries of their own, parted by their place; the
 words they take are counted for each. Words-free corpora take nothing. Extra columns are ignored.
 """
 
@@ -17,9 +17,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, table
+from ..functions.session import running_sums
+from .common import WORD, fresh, materialize, table
 
-BUCKETS = 4096
 WEIGHTS = (5, 2, 1)
 
 
@@ -47,55 +47,45 @@ def targets(sources: DataFrame, weights=WEIGHTS, most_repeats: int = 3) -> DataF
     return named.withColumn("target", F.least(F.col("cap"), F.coalesce(found * F.col("weight"), F.col("cap")))).select(*sources.columns, "weight", "target")
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3, share: float = 1.0) -> DataFrame:
-    """documents(doc_id, text, source, ...) -> doc_id, size, source_size, target, taken, source (a row a document).
+def mix(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3, share: float = 1.0, row: str | None = None) -> DataFrame:
+    """documents(doc_id, text, source, ...) -> doc_id, row, size, source_size, target, taken, source (a row a document).
 
-    ``share``: the budget as a part of all words. A column mix_row of docs, if there, goes along.
+    ``share``: the budget as a part of all words. ``row``: the column that numbers the rows of docs; without it their place does.
     """
-    along = [c for c in docs.columns if c == "mix_row"]
-    order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    sized = docs.select("doc_id", *along, F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *_key(F.col("source")), order_key.alias("u"))
-    # ties (repeated doc_ids) are parted by a row number below, so every row has a place of its own
-    sized = materialize(sized.withColumn("bucket", F.conv(F.substring("u", 1, 3), 16, 10).cast("int")), "mix-sizes")
+    place = F.monotonically_increasing_id() if row is None else F.col(row).cast("long")
+    shuffled = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     queue = ["no_source", "source_key"]
-    sums = sized.groupBy(*queue, "bucket").agg(F.sum("size").alias("words"))
-    sums = materialize(sums, "mix-sums")
-    goal = targets(sums.groupBy(*queue).agg(F.sum("words").alias("source_size")), weights, most_repeats)
-    before = Window.partitionBy(*queue).orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.withColumn("base", F.coalesce(F.sum("words").over(before), F.lit(0))).join(goal, queue).select(*queue, "bucket", "base", "source_size", "target")
-    inside = Window.partitionBy(*queue, "bucket").orderBy("u", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = sized.withColumn("inside", F.sum("size").over(inside)).withColumn("n", F.row_number().over(inside)).join(bases, [*queue, "bucket"])
-    upto = (F.col("base") + F.col("inside")).cast("double")
-    placed = materialize(placed.select("doc_id", *along, "size", "source_size", "target", "u", "n", *queue, upto.alias("upto")), "mix-placed")
+    sized = materialize(docs.select("doc_id", place.alias("row"), size.alias("size"), *_key(F.col("source")), shuffled.alias("u")).withColumn("one", F.lit(1).cast("long")), "mix-sizes")
+    sums = materialize(sized.groupBy(*queue).agg(F.sum("size").alias("source_size"), F.sum("one").alias("source_rows")), "mix-sums")
+    # a queue's sums are those over all queues in order, less those of the queues before
+    before = Window.orderBy(*queue).rowsBetween(Window.unboundedPreceding, -1)
+    bases = sums.select(*queue, *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("source_size", "source_rows")])
+    goal = targets(sums.drop("source_rows"), weights, most_repeats).join(bases, queue)
+    order = [*queue, "u", "doc_id", "size", "row"]
+    placed = running_sums(sized, {"upto": "size", "n": "one"}, *order).join(goal, queue)
+    upto = (F.col("upto") - F.col("source_size_before")).cast("double")
+    placed = placed.select("doc_id", "row", "size", "source_size", "target", "u", (F.col("n") - F.col("source_rows_before")).alias("n"), *queue, upto.alias("upto"))
+    placed = materialize(placed, "mix-placed")
 
     def finish(epoch: Column) -> Column:
         return (F.col("upto") + epoch * F.col("source_size")) / F.col("target")
 
+    budget = placed.agg(F.sum("size")).collect()[0][0]
     copies = placed.where("size > 0 and target > 0").withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(most_repeats - 1))))
-    copies = copies.withColumn("finish", finish(F.col("epoch")))
-    slot = F.least(F.floor(F.col("finish") * BUCKETS), F.lit(BUCKETS * (most_repeats + 1))).cast("long")
-    slots = copies.groupBy(slot.alias("slot")).agg(F.sum("size").alias("words"))
-    slots = slots.withColumn("upto", F.sum("words").over(Window.orderBy("slot")))
-    budget = F.floor(F.sum("words").over(Window.partitionBy(F.lit(1))) * F.lit(share) / most_repeats)
-    # the words of all epochs are most_repeats times those of the corpus; one row: the slot in which the budget ends
-    edge = slots.withColumn("budget", budget).where("upto >= budget").orderBy("slot").limit(1).select(F.col("slot").alias("edge"), (F.col("budget") - F.col("upto") + F.col("words")).alias("room"))
-    found = edge.collect()
-    last, room = (found[0]["edge"], found[0]["room"]) if found else (-1, 0)
-    # in the last slot the copies are taken in order of finish time as long as they fit
-    inside = Window.orderBy("finish", "u", "no_source", "source_key", "n").rowsBetween(Window.unboundedPreceding, 0)
-    edge_rows = copies.where(slot == last).withColumn("run", F.sum("size").over(inside)).where(F.col("run") <= room)
-    mark = edge_rows.agg(F.max(F.struct("finish", "u", "no_source", "source_key", "n")).alias("mark")).collect()[0]["mark"]
+    copies = copies.select(finish(F.col("epoch")).alias("finish"), "u", *queue, "n", "size")
+    order = ["finish", "u", *queue, "n"]
+    # copies are taken in order of finish time as long as they fit; all up to the last that does
+    ran = running_sums(copies, {"run": "size"}, *order).where(F.col("run") <= F.floor(F.lit(budget or 0) * F.lit(share)))
+    mark = ran.agg(F.max(F.struct(*order)).alias("mark")).collect()[0]["mark"]
     taken = F.lit(0)
-    for epoch in range(most_repeats):
-        time = finish(F.lit(epoch))
-        at = F.least(F.floor(time * BUCKETS), F.lit(BUCKETS * (most_repeats + 1))).cast("long")
-        take = at < last
-        if mark is not None:
-            upto_mark = F.struct(time.alias("finish"), "u", "no_source", "source_key", "n") <= F.struct(F.lit(mark[0]), F.lit(mark[1]), F.lit(mark[2]), F.lit(mark[3]), F.lit(mark[4]))
-            take = take | ((at == last) & upto_mark)
-        taken = taken + F.when(F.coalesce(take, F.lit(False)) & (F.col("target") > 0), F.col("size")).otherwise(0)
+    if mark is not None:
+        last = F.struct(*[F.lit(x).cast("long") if c == "n" else F.lit(x) for c, x in zip(order, mark)])
+        for epoch in range(most_repeats):
+            inside = F.struct(finish(F.lit(epoch)).alias("finish"), *order[1:]) <= last
+            taken = taken + F.when(F.coalesce(inside, F.lit(False)) & (F.col("target") > 0), F.col("size")).otherwise(0)
     source = F.when(~F.col("no_source"), F.col("source_key"))
-    return placed.select("doc_id", *along, "size", "source_size", "target", taken.cast("long").alias("taken"), source.alias("source"))
+    return placed.select("doc_id", "row", "size", "source_size", "target", taken.cast("long").alias("taken"), source.alias("source"))
 
 
 def take(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3) -> DataFrame:
@@ -103,14 +93,15 @@ def take(docs: DataFrame, weights=WEIGHTS, most_repeats: int = 3) -> DataFrame:
 
     docs must be rows of files (a row's number is its place in them, alike in every scan).
     """
-    numbered = docs.withColumn("mix_row", F.monotonically_increasing_id())
-    taken = mix(numbered, weights, most_repeats).where("taken > 0").select("mix_row", (F.col("taken") / F.col("size")).cast("int").alias("mix_copies"))
-    copies = numbered.join(taken, "mix_row").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))))
+    row, times = fresh(docs, "mix_row"), fresh(docs, "mix_copies")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    taken = mix(numbered, weights, most_repeats, row=row).where("taken > 0").select(F.col("row").alias(row), (F.col("taken") / F.col("size")).cast("int").alias(times))
+    copies = numbered.join(taken, row).withColumn(row, F.explode(F.sequence(F.lit(1), F.col(times))))
     return copies.select(*docs.columns)
 
 
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).drop("source")
+    return mix(table(spark, sf_dir, "documents")).drop("row", "source")
 
 
 #: The same by one sort over everything; md5 parts ties alike.
