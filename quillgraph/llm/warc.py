@@ -6,8 +6,11 @@ dictionary at hand. Of the pages with equal payloads that with the largest page_
 response; the others are revisit records that refer to it. A revisit record holds the HTTP header
 (with the payload's Content-Length) but no payload.
 
-The dictionary is trained on the driver from a bounded sample of pages: the ``SAMPLE_ROWS`` with the
-smallest hash among those of at most ``SAMPLE_CHARS`` characters. Only compression depends on it.
+Payloads are never shuffled: tasks keep their pages in a file each in the shared folder, digests alone meet, and what
+they decide is dealt back to the files.
+
+The dictionary is trained on the driver from a bounded sample: the first ``SAMPLE_CHARS`` characters of the ``SAMPLE_ROWS`` pages with the
+smallest hash. Only compression depends on it.
 
 Nulls: a null html is the empty payload; a null page_id ranks below all others and is written as
 "null"; a null url as an empty target. Repeated rows (equal page_id and payload): one of them is the
@@ -18,12 +21,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, table, whole_file
+from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, small_batches, table, whole_file
 
 SAMPLE_ROWS, SAMPLE_CHARS, DICT_BYTES = 1000, 20_000, 64 << 10
 SKIPPABLE = 0x184D2A5D
@@ -38,7 +42,7 @@ def train_dictionary(pages: DataFrame, rows: int = SAMPLE_ROWS, size: int = DICT
     """A trained dictionary, or the plain text of the sample where it is too small to train on."""
     import zstandard
 
-    fit = pages.where(F.col("html").isNotNull() & (F.length("html") <= SAMPLE_CHARS)).select("html", F.xxhash64("page_id", "html").alias("h"))
+    fit = pages.where("html is not null").select(F.substring("html", 1, SAMPLE_CHARS).alias("html"), F.xxhash64("page_id", "html").alias("h"))
     # the hashes first, so that no task sends more than those and no more than ``rows`` payloads reach the driver
     last = fit.select("h").orderBy("h").limit(rows).agg(F.max("h")).collect()[0][0]
     sample = fit.where(F.col("h") <= F.lit(last)).orderBy("h").limit(rows).collect() if last is not None else []
@@ -70,48 +74,81 @@ def page_record(page_id, url, payload: bytes, digest: str, revisits: bool, refer
     return _record(fields, _http(len(payload)) + (b"" if revisits else payload))
 
 
-def assign(pages: DataFrame) -> DataFrame:
-    """pages(page_id, url, html) -> page_id, url, html, revisits, refers_to.
+def keep_pages(pages: DataFrame, folder: str) -> DataFrame:
+    """Keeps pages(page_id, url, html) in ``folder``, a file a task: p, row, page_id, digest; row -1 only names a file."""
+    small_batches(pages.sparkSession)
+    make_dir(folder)
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kept = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("html", pa.string())])
+
+    def keep(batches):
+        import pyarrow.parquet as pq
+        from pyspark import TaskContext
+
+        p, n = TaskContext.get().partitionId(), 0
+        with whole_file(f"{folder}/pages-{p:06d}.parquet") as out:
+            with pq.ParquetWriter(out, kept, compression="zstd") as writer:
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip((p, -1, None, b""), kinds)], ["p", "row", "page_id", "digest"])
+                for batch in batches:
+                    for part in rows_of(batch, 8 << 20, "html"):
+                        part = pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(c)).cast(kept.field(c).type) for c in kept.names], schema=kept)
+                        writer.write_batch(part, row_group_size=max(1, len(part)))
+                        digests = [hashlib.sha1(x.encode()).digest() for x in pylist(part, "html")]
+                        yield pa.RecordBatch.from_arrays([pa.array([p] * len(part), kinds[0]), pa.array(range(n, n + len(part)), kinds[1]), part.column(0), pa.array(digests, kinds[3])], ["p", "row", "page_id", "digest"])
+                        n += len(part)
+
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
+    return materialize(rows.mapInArrow(keep, "p int, row long, page_id long, digest binary"), "warc-pages")
+
+
+def assign(kept: DataFrame) -> DataFrame:
+    """keep_pages()'s rows -> p, row, refers_to, first of those that revisit another page (first: its page_id is known), and of
+    row -1 of each file.
 
     Counts are pre-aggregated by digest; pages meet only the digests that occur more than once, each in
     SALTS copies, so the pages of one hot payload are dealt over as many tasks.
     """
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"))
-    rows = rows.withColumn("digest", F.unhex(F.sha1(F.col("html").cast("binary")))).withColumn("copy", F.xxhash64(F.monotonically_increasing_id()))
-    rows = materialize(rows, "warc-pages")  # a row's number must not change between the two uses
-    many = rows.groupBy("digest").agg(F.count("*").alias("n"), F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "copy")).alias("first")).where("n > 1")
+    rows = kept.where("row >= 0")
+    first = F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "p", "row")).alias("first")
+    many = rows.groupBy("digest").agg(F.count("*").alias("n"), first).where("n > 1")
     many = materialize(many.select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), "first"), "warc-digests")
-    salted = rows.withColumn("salt", F.pmod("copy", F.lit(SALTS)).cast("int"))
-    first = F.col("first")
-    revisits = first.isNotNull() & ~(first["page_id"].eqNullSafe(F.col("page_id")) & (first["copy"] == F.col("copy")))
-    return salted.join(many, ["digest", "salt"], "left").select("page_id", "url", "html", revisits.alias("revisits"), F.when(revisits, first["page_id"]).alias("refers_to"))
+    met = rows.withColumn("salt", F.pmod(F.xxhash64("p", "row"), F.lit(SALTS)).cast("int")).join(many, ["digest", "salt"])
+    again = met.where((F.col("first.p") != F.col("p")) | (F.col("first.row") != F.col("row"))).select("p", "row", F.col("first.page_id").alias("refers_to"))
+    return again.unionByName(kept.where("row = -1").select("p", "row", F.lit(None).cast("long").alias("refers_to")))
 
 
-def write_warc(pages: DataFrame, folder: str, dictionary: bytes, level: int = LEVEL) -> list[str]:
-    """Writes assign()'s rows, a file a task; returns the files' URIs (a row a task)."""
+def write_warc(marks: DataFrame, pages: str, folder: str, dictionary: bytes, level: int = LEVEL) -> list[str]:
+    """Writes the pages kept in the folder ``pages`` under assign()'s marks, an archive a file; returns their URIs (a row a file)."""
     make_dir(folder)
 
-    def write(batches):
+    def archive(p: int, marked) -> pa.RecordBatch:
+        import pyarrow.parquet as pq
         import zstandard
-        from pyspark import TaskContext
 
-        name = f"{folder}/part-{TaskContext.get().partitionId():06d}.warc.zst"
+        name, n = f"{folder}/part-{p:06d}.warc.zst", 0
         packer = zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(dictionary) if dictionary else None)
-        n = 0
-        with whole_file(name) as out:
+        at, refers_to = next(marked, (None, None))
+        fs, path = filesystem(f"{pages}/pages-{p:06d}.parquet")
+        with fs.open_input_file(path) as f, whole_file(name) as out:
             out.write(SKIPPABLE.to_bytes(4, "little") + len(dictionary).to_bytes(4, "little") + dictionary)
             info = b"software: quillgraph\r\nformat: WARC File Format 1.1\r\n"
-            out.write(packer.compress(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{TaskContext.get().partitionId()}>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], info)))
-            for batch in batches:
-                for part in rows_of(batch, 16 << 20, "html"):
-                    for page_id, url, html, revisits, refers_to in zip(*(pylist(part, c) for c in ("page_id", "url", "html", "revisits", "refers_to"))):
-                        payload = html.encode()
-                        digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
-                        out.write(packer.compress(page_record(page_id, url, payload, digest, revisits, refers_to)))
-                        n += 1
-        yield pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
-
-    done = pages.mapInArrow(write, "file string, n long").collect()
+            out.write(packer.compress(_record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<urn:file:{p}>"), ("WARC-Date", _DATE), ("Content-Type", "application/warc-fields")], info)))
+            for batch in pq.ParquetFile(f).iter_batches(500):
+                for page_id, url, html in zip(*(pylist(batch, c) for c in ("page_id", "url", "html"))):
+                    payload = html.encode()
+                    digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
+                    out.write(packer.compress(page_record(page_id, url, payload, digest, n == at, refers_to)))
+                    if n == at:
+                        at, refers_to = next(marked, (None, None))
+                    n += 1
+        return pa.RecordBatch.from_pydict({"file": [name], "n": pa.array([n], pa.int64())})
+
+    def write(batches):
+        flat = (r for batch in batches for r in zip(*(pylist(batch, c) for c in ("p", "row", "refers_to"))))
+        for p, own in itertools.groupby(flat, key=lambda r: r[0]):
+            yield archive(p, ((row, to) for _, row, to in own if row >= 0))
+
+    done = marks.repartition("p").sortWithinPartitions("p", "row").mapInArrow(write, "file string, n long").collect()
     return sorted(r["file"] for r in done if r["n"])
 
 
@@ -181,8 +218,8 @@ def read_warc(spark: SparkSession, files: list[str]) -> DataFrame:
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived with dictionary compression and read back."""
     pages = table(spark, sf_dir, "pages")
-    folder = shared_dir(spark, "warc")
-    files = write_warc(assign(pages), folder, train_dictionary(pages))
+    kept, folder = shared_dir(spark, "warc-kept"), shared_dir(spark, "warc")
+    files = write_warc(assign(keep_pages(pages, kept)), kept, folder, train_dictionary(pages))
     return read_warc(spark, files).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
