@@ -32,18 +32,22 @@ class Encoder:
 
     In the pieces of a byte-level tokenizer a word stands for itself after a space, one
     after "\\n" for a line's first word with the line break, and one after NUL for itself. Texts with other or
-    repeated white space are encoded by the library as they are.
+    repeated white space are encoded by the library as they are; so are texts that hold the name of a special token,
+    which is that token (the library's default) unless ``plain_specials``.
     """
 
-    def __init__(self, path: str, cache: int = CACHE):
+    def __init__(self, path: str, cache: int = CACHE, plain_specials: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         spec = json.loads(self.tokenizer.to_str())
+        names = [x["content"] for x in spec.get("added_tokens") or [] if not (plain_specials and x["special"])]
+        # in any case: a normalizer may change it
+        self.names = "(?i)" + "|".join(map(re.escape, names)) if names else None
         pre, norm = spec.get("pre_tokenizer") or {}, spec.get("normalizer")
         steps = [x.get("type") for x in (norm or {}).get("normalizers", [])]
         self.known: dict[str, bytes] = {}
@@ -181,6 +185,15 @@ class Encoder:
         texts = pa.array(texts, pa.large_string())
         if self.cut is None:
             return self._ids(texts.to_pylist())
+        named = np.flatnonzero(pc.match_substring_regex(texts, self.names).to_numpy(zero_copy_only=False)).tolist() if self.names else []
+        if named:
+            out = self._pieces(pc.if_else(pc.match_substring_regex(texts, self.names), "", texts))
+            for i, ids in zip(named, self._ids([texts[i].as_py() for i in named])):
+                out[i] = ids
+            return out
+        return self._pieces(texts)
+
+    def _pieces(self, texts: pa.Array) -> list[bytes]:
         pieces = self.cut(texts)
         ends = pieces.offsets.to_numpy() - pieces.offsets[0].as_py()
         coded = pieces.flatten().dictionary_encode()
