@@ -253,7 +253,8 @@ def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with their columns."""
-    return judge(docs, docs.columns).where("quality_kept").select(*docs.columns)
+    whole = docs.select("text", "lang", F.struct(*docs.columns).alias("quality_doc"))  # names of docs meet none of ours
+    return judge(whole, ["quality_doc"]).where("quality_kept").select("quality_doc.*")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,7 +30,7 @@ CUTOFF = 0.7
 #: Second-person words in English, German, French and Spanish; fixed values.
 YOU = frozenset("you your yours yourself u ur ya du dich dir dein deine deinen deiner ihr euch euer sie tu te toi ton ta tes vous votre vos usted ustedes tú ti tuyo vosotros os".split())
 #: Characters that stand for letters; fixed values.
-LEET = str.maketrans("0134578@$!|", "oieastba" + "sil")
+LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i", "|": "l"})
 NEAR = 5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _RUN = re.compile(r"(.)\1\1")
@@ -117,7 +117,9 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = ROWS, terms: int = TER
     total = max(known.count(), 1)
     # a bounded sample: about ``rows`` of them
     sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.lit(min(1.0, rows / total) * (1 << 20)))
-    texts = materialize(text_rows(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")
+    # a repeated doc_id is learned from once, by its first text
+    texts = text_rows(docs, "doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text"))
+    texts = materialize(texts, "labelled")
 
     def count(batches):
         got: dict[str, list[int]] = {}
