@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from quillgraph.llm import components, media, mixing, packing, quality, secrets, simhash, substring, token_files, tokens, toxicity, trees, warc
+from quillgraph.llm import media, mixing, packing, quality, secrets, simhash, substring, token_files, tokens, toxicity, trees, warc
 from quillgraph.llm.common import shared_dir
+from quillgraph.operators import programs
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row string, size long, label int"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -65,7 +66,6 @@ def plain_ids(path, text):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [2]
 
 
@@ -73,15 +73,18 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize("specials", [False, True])
 @pytest.mark.parametrize("path", [BYTE, WORDS])
-def test_encoder_equals_library(rows, path):
+def test_encoder_equals_library(rows, path, specials):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(path)
-    plain.encode_special_tokens = True
+    plain.encode_special_tokens = specials
+    top = plain.get_vocab_size(with_added_tokens=True) - 1
+    assert (top in plain.encode("a <|endoftext|> b", add_special_tokens=False).ids) is not specials
     texts = [r[1] or "" for r in rows] + ["a  b   c\n d \t e.", " x", "\n", "a\n\nb", "’s don't DON'T we'll", "ſ K Å １２", "a\x00b \x01 c", "...,,, !? a.b", "é É"]
     for cache in (10, 100_000):
-        enc = tokens.Encoder(path, cache)
+        enc = tokens.Encoder(path, cache, specials)
         for _ in range(3):
             got = enc.encode(texts)
         for text, ids in zip(texts, got):
@@ -143,7 +146,8 @@ def test_warc(spark, none):
     frame = spark.createDataFrame([(*p, "x") for p in pages], "page_id long, url string, html string, digest string").repartition(4)
     dictionary = warc.train_dictionary(frame)
     folder = shared_dir(spark, "warc")
-    names = warc.write_warc(warc.assign(frame), folder, dictionary)
+    kept = shared_dir(spark, "warc-kept")
+    names = warc.write_warc(warc.assign(warc.keep_pages(frame, kept)), kept, folder, dictionary)
     got = warc.read_warc(spark, names).collect()
     with open(names[0].removeprefix("file://"), "rb") as f:
         head = f.read(8 + len(dictionary))
@@ -161,7 +165,10 @@ def test_warc(spark, none):
     assert {r["payload"].decode() for r in got if r["payload"] is not None} == set(groups)
     empty = none.select(F.col("doc_id").alias("page_id"), F.col("text").alias("url"), F.col("text").alias("html"))
     assert warc.train_dictionary(empty) == b""
-    assert warc.read_warc(spark, warc.write_warc(warc.assign(empty), shared_dir(spark, "warc"), b"")).count() == 0
+    kept = shared_dir(spark, "warc-kept")
+    assert warc.read_warc(spark, warc.write_warc(warc.assign(warc.keep_pages(empty, kept)), kept, shared_dir(spark, "warc"), b"")).count() == 0
+    long = spark.createDataFrame([(i, "u", f"<html>{i} " + "<p>one two three</p>" * 3000) for i in range(30)], "page_id long, url string, html string")
+    assert len(warc.train_dictionary(long)) > 1000  # pages of any length are sampled
 
 
 def plain_base(text):
@@ -391,28 +398,29 @@ def groups(values):
 
 
 def test_simhash(docs, rows, none):
-    got = simhash.near_duplicates(docs.drop("row")).collect()
-    fps = [plain_fingerprint(r[1]) for r in rows]
-    for r in got:
-        assert r["fp"] & (2**64 - 1) in fps
-    tops = groups(fps)
-    best = {}
-    for r, t in zip(rows, tops):
-        if r[0] is not None:
-            best[t] = min(best.get(t, r[0]), r[0])
-    want = Counter((r[0], f, best.get(t)) for r, f, t in zip(rows, fps, tops))
-    assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
-    assert simhash.near_duplicates(none.drop("row")).count() == 0
-
-
-@pytest.mark.parametrize("shard", [4096, 2])
+    for given in (docs, docs.drop("row")):  # a column of ours by name only
+        got = simhash.near_duplicates(given).collect()
+        fps = [plain_fingerprint(r[1]) for r in rows]
+        for r in got:
+            assert r["fp"] & (2**64 - 1) in fps
+        tops = groups(fps)
+        best = {}
+        for r, t in zip(rows, tops):
+            if r[0] is not None:
+                best[t] = min(best.get(t, r[0]), r[0])
+        want = Counter((r[0], f, best.get(t)) for r, f, t in zip(rows, fps, tops))
+        assert Counter((r["doc_id"], r["fp"] & (2**64 - 1), r["component_id"]) for r in got) == want
+    assert simhash.near_duplicates(none).count() == 0
+
+
+@pytest.mark.parametrize("shard", [2048, 16])
 def test_links_of_dense_shards(spark, shard):
     rng = random.Random(4)
     base = [rng.getrandbits(64) for _ in range(6)]
-    values = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(40)})
+    values = sorted({b ^ sum(1 << i for i in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(60)} | {base[0] ^ i for i in range(300)})
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     found = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), 2, shard)
-    got = {r["node"]: r["component"] for r in components.components(found).collect()}
+    got = {r["v"]: r["component"] for r in programs.connected_components(found.select(F.col("a").alias("src"), F.col("b").alias("dst"))).collect()}
     tops = groups(values)
     classes = {}
     for v, t in zip(signed, tops):
@@ -421,6 +429,43 @@ def test_links_of_dense_shards(spark, shard):
         assert {got.get(v, v) for v in members} == {min(members)}
 
 
+@pytest.mark.parametrize("radius", [1, 2, 3])
+def test_choices_keep_every_near_pair(radius):
+    rng = random.Random(radius)
+    for free in ((1 << 64) - 1, 0xFFFF0000FFFF, 0xFF):
+        masks = simhash.choices(free, radius)
+        bits = [i for i in range(64) if free >> i & 1]
+        for _ in range(200):
+            flipped = sum(1 << i for i in rng.sample(bits, rng.randint(0, radius)))
+            assert any(not flipped & m for m in masks)
+
+
+def test_similar_texts_meet(spark):
+    """Five-word similarity of 0.8 and more is found, and texts of less than 0.3 are left alone; shingle sets are compared pair by pair."""
+    rng, rows = random.Random(8), []
+    for k in range(150):
+        words = [f"w{rng.randint(0, 5000)}" for _ in range(rng.randint(60, 400))]
+        rows.append(words)
+        for _ in range(rng.randint(0, 2)):
+            copy = list(words)
+            for _ in range(max(1, len(words) // rng.choice([40, 80, 160]))):
+                copy[rng.randrange(len(copy))] = "new"
+            rows.append(copy)
+    texts = [" ".join(w) for w in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component"] for r in simhash.near_duplicates(frame, words=5, alike=True).collect()}
+    near = far = missed = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            if (common := len(sets[i] & sets[j])) or found[i] == found[j]:
+                similarity = common / len(sets[i] | sets[j])
+                near += similarity >= 0.8
+                missed += similarity >= 0.8 and found[i] != found[j]
+                far += similarity < 0.3 and found[i] == found[j]
+    assert near > 60 and missed <= 0.02 * near and far == 0
+
+
 def test_bk_tree():
     rng = random.Random(6)
     values = [rng.getrandbits(12) for _ in range(300)]
@@ -432,7 +477,7 @@ def test_bk_tree():
 
 
 def test_mixing(spark, docs, rows, none):
-    got = mixing.mix(docs).collect()
+    got = mixing.mix(docs).drop("row").collect()
     assert len(got) == len(rows)
     size = Counter()
     for r in rows:
@@ -458,7 +503,7 @@ def test_mixing(spark, docs, rows, none):
     for s in names:
         assert abs(taken[s] - goal[s]) <= 2 * max(most.values())
     assert sum(taken.values()) <= sum(size.values())
-    again = mixing.mix(docs.repartition(3)).collect()
+    again = mixing.mix(docs.repartition(3)).drop("row").collect()
     assert Counter(map(tuple, again)) == Counter(map(tuple, got))
     assert mixing.mix(none).count() == 0
 
@@ -471,7 +516,7 @@ def test_mixing_equals_sql(spark, rows):
     con.register("given", pd.DataFrame([r[:4] for r in rows], columns=["doc_id", "text", "lang", "source"]).astype({"doc_id": "Int64"}))
     con.sql("create table documents as select cast(doc_id as bigint) as doc_id, text, lang, source from given")
     want = Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in con.sql(mixing.OP8_SQL).fetchall())
-    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).drop("source").collect()
+    got = mixing.mix(spark.createDataFrame(rows, SCHEMA)).drop("row", "source").collect()
     assert Counter((r[0], r[1], r[2], round(r[3], 6), r[4]) for r in got) == want
 
 
@@ -541,10 +586,16 @@ def test_isotonic():
 
 
 def test_stages_keep_columns(spark, files, none):
+    clashing = [F.lit(x).alias(x) for x in ("near_row", "mix_row", "mix_copies", "quality_doc", "quality_lang", "quality_text", "fp", "keys", "component")]
+    path = shared_dir(spark, "clashing")
+    files.select("*", *clashing).write.parquet(path)
+    named = spark.read.parquet(path)
     for stage in (quality.keep_good, simhash.keep_one, secrets.redact, mixing.take):
-        assert stage(files).columns == files.columns
+        got = stage(named)
+        assert got.columns == named.columns
+        assert all(r["mix_row"] == "mix_row" and r["quality_lang"] == "quality_lang" and r["near_row"] == "near_row" for r in got.collect())
         assert stage(none).count() == 0
-    one = simhash.keep_one(files).collect()
+    one = simhash.keep_one(files, words=3, alike=False).collect()
     tops = groups([plain_fingerprint(r["text"]) for r in one])
     assert tops == list(range(len(one)))
     taken = Counter((r["doc_id"], r["text"]) for r in mixing.take(files.where("doc_id < 300")).collect())
