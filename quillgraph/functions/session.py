@@ -66,3 +66,21 @@ def running_sums(df: DataFrame, values: dict[str, str], *order) -> DataFrame:
     inside = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     summed = rows.join(F.broadcast(bases), "_part")  # a row a partition
     return summed.withColumns({n: F.sum(v).over(inside) + F.col(f"_base_{n}") for n, v in values.items()}).drop("_part", *[f"_base_{n}" for n in values])
+
+
+def grouped_running(df: DataFrame, by: str, value: str, *order, name: str = "upto") -> DataFrame:
+    """Adds the inclusive running sum of ``value`` in each group of ``by`` in the given order, which is total there.
+
+    Rows are dealt by ranges of (by, order), so a large group spans many tasks; a group's sum in a part is based on
+    those of the parts before, a row a group and part that it reaches into.
+    """
+    spark = df.sparkSession
+    rows = df.repartitionByRange(shuffle_partitions(spark), by, *order).sortWithinPartitions(by, *order)
+    rows = materialize(rows.withColumn("_part", F.spark_partition_id()), "running")
+    inside = Window.partitionBy("_part", by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_inside", F.sum(value).over(inside))
+    ends = rows.groupBy(by, "_part").agg(F.max("_inside").alias("_end"))  # values are not negative
+    wide = ends.join(ends.groupBy(by).count().where("count > 1").select(by), by)  # few: a part has two such groups at most
+    before = F.sum("_end").over(Window.partitionBy(by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    bases = F.broadcast(wide.select(by, "_part", before.alias("_base")))
+    return rows.join(bases, [by, "_part"], "left").withColumn(name, F.col("_inside") + F.coalesce("_base", F.lit(0))).drop("_part", "_inside", "_base")

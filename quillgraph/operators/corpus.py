@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import keep_chance
 from ..functions.rng import u32, uniform
-from ..functions.session import numbered, running_sum
+from ..functions.session import grouped_running, numbered, running_sum
 
 POWER, LONGEST = 0.75, 1000
 
@@ -18,8 +18,9 @@ def vocab_rank(counts: DataFrame) -> DataFrame:
 
 
 def partition_freq_rank(owned: DataFrame) -> DataFrame:
-    """v, cn, part -> the rank of each vertex inside its part."""
-    return owned.withColumn("rank", (F.row_number().over(Window.partitionBy("part").orderBy(F.desc("cn"), "v")) - 1).cast("long"))
+    """v, cn, part -> the rank of each vertex inside its part, by count descending, ties by v."""
+    rows = owned.withColumn("_one", F.lit(1).cast("long")).withColumn("_less", -F.col("cn"))
+    return grouped_running(rows, "part", "_one", "_less", "v", name="rank").withColumn("rank", F.col("rank") - 1).drop("_one", "_less")
 
 
 def freq_blocks(ranked: DataFrame) -> DataFrame:
@@ -34,6 +35,25 @@ def unigram_cdf(ranked: DataFrame, power: float = POWER) -> DataFrame:
     return rows.select("v", "rank", (F.col("upto") / F.lit(total)).alias("cdf"))
 
 
+def negative_draws(cdf: DataFrame, draws: int, salt: int = 7) -> DataFrame:
+    """cdf(rank, cdf) -> id, rank: ``draws`` ranks of the distribution by the portable hash; rank 0 is replaced by a uniform one of the others.
+
+    A draw meets the ranks of its bucket of equal share, of which there are as many as ranks.
+    """
+    spark = cdf.sparkSession
+    n = cdf.count()
+    before = F.lag("cdf").over(Window.partitionBy("near").orderBy("rank"))
+    # the rank before is in the same group: each rank stands in its own and as the last of the one after
+    pairs = cdf.select("rank", "cdf", F.explode(F.array("rank", F.col("rank") + 1)).alias("near"))
+    spans = pairs.withColumn("low", before).where("near = rank").select("rank", F.coalesce("low", F.lit(-1.0)).alias("low"), "cdf")
+    at = lambda x: F.least(F.floor(F.greatest(x, F.lit(0.0)) * n), F.lit(n)).cast("long")
+    spans = spans.withColumn("bucket", F.explode(F.sequence(at(F.col("low")), at(F.col("cdf")))))
+    drawn = spark.range(draws).withColumn("x", uniform(salt, F.col("id"), "neg")).withColumn("bucket", at(F.col("x")))
+    met = drawn.join(spans, "bucket").where("x > low and x <= cdf")
+    other = 1 + F.pmod(u32(salt, F.col("id"), "zero"), F.lit(max(n - 1, 1)))
+    return met.select("id", F.when((F.col("rank") == 0) & F.lit(n > 1), other).otherwise(F.col("rank")).cast("long").alias("rank"))
+
+
 def corpus_size(counts: DataFrame) -> DataFrame:
     return counts.agg(F.sum("cn").alias("tokens"))
 
@@ -56,7 +76,15 @@ def sentence_cut(path: DataFrame, longest: int = LONGEST) -> DataFrame:
     return path.withColumn("path", F.slice("path", 1, longest)).where(F.size("path") > 1)
 
 
+def sentences(walkers: DataFrame, seen: DataFrame) -> DataFrame:
+    """round, walker, path: the visits that are left of every walk, none for a walk that has lost all."""
+    steps = F.array_sort(F.collect_list(F.struct("step", "vertex")))
+    left = seen.groupBy("round", "walker").agg(F.transform(steps, lambda x: x["vertex"]).alias("path"))
+    return walkers.select("round", "walker").join(left, ["round", "walker"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<long>")))
+
+
 def null_sentences(path: DataFrame) -> DataFrame:
+    """How many sentences have no token."""
     return path.agg(F.count_if(F.size("path") == 0).alias("empty"))
 
 

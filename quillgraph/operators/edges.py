@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import accept
-from ..functions.session import materialize, numbered
+from ..functions.session import materialize, numbered, running_sum
 
 
 def to_undirected(edges: DataFrame) -> DataFrame:
@@ -122,6 +122,26 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     return keyed.join(counted.unionByName(loops), ["x", "y"], "left").drop("x", "y").withColumn("cn", F.coalesce("cn", F.lit(0).cast("long")))
 
 
+def shared_neighbours(lists: DataFrame, pairs: DataFrame) -> DataFrame:
+    """lists(src, nbrs) and pairs(x, y) -> x, y, shared: the size of the intersection of both ends' lists, of those that share any."""
+    a = lists.select(F.col("src").alias("x"), F.col("nbrs").alias("a"))
+    b = lists.select(F.col("src").alias("y"), F.col("nbrs").alias("b"))
+    shared = F.size(F.array_intersect("a", "b")).cast("long")
+    return pairs.join(a, "x").join(b, "y").select("x", "y", shared.alias("shared")).where("shared > 0")
+
+
+def csr(edges: DataFrame) -> DataFrame:
+    """v, begin, end: where each vertex's neighbours begin and end in one array of all, by vertex."""
+    rows = running_sum(out_degree(edges), "degree", "v")
+    return rows.select("v", (F.col("upto") - F.col("degree")).alias("begin"), F.col("upto").alias("end"))
+
+
+def local_pairs(pairs: DataFrame, owned: DataFrame) -> DataFrame:
+    """pairs(src, dst, cn) and owned(v, part) -> part, key, cn: what each part looks up, the pairs that have an end in it."""
+    ends = pairs.select(pair_key(F.col("src"), F.col("dst")).alias("key"), "cn", F.explode(F.array("src", "dst")).alias("v"))
+    return ends.join(owned.select("v", "part"), "v").select("part", "key", "cn").distinct()
+
+
 def lookup(pairs: DataFrame, edges: DataFrame, value: str, missing=0) -> DataFrame:
     """pairs(src, dst) with the edges' value, or ``missing`` where there is no such edge."""
     return pairs.join(edges.select("src", "dst", value), ["src", "dst"], "left").fillna({value: missing})

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
 from collections import deque
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import running_sum
-from .edges import out_degree
+from ..functions.session import materialize, numbered, running_sum
+from .edges import max_degree_vertex, out_degree
+from .programs import bfs
 
 BETA, PER_VERTEX = 2.0, 5
 #: Most edges of one sequential stream; larger graphs go by batches.
@@ -78,6 +80,13 @@ def partition_sizes(owned: DataFrame) -> DataFrame:
     return owned.groupBy("part").agg(F.count("*").alias("size"))
 
 
+def part_ranges(owned: DataFrame) -> DataFrame:
+    """p, begin, end of the ids that relabel_by_partition gives: each part's size after the sizes of the parts before."""
+    rows = sorted((r["part"], r["size"]) for r in partition_sizes(owned).collect())  # a row a part
+    ends = list(itertools.accumulate(n for _, n in rows))
+    return owned.sparkSession.createDataFrame([(p, end - n, end) for (p, n), end in zip(rows, ends)], "p int, begin long, end long")
+
+
 def balance(owned: DataFrame) -> DataFrame:
     sizes = partition_sizes(owned)
     return sizes.agg((F.max("size") / F.avg("size")).alias("max_over_mean"), (F.min("size") / F.avg("size")).alias("min_over_mean"))
@@ -155,6 +164,17 @@ def stream_vertices(undirected: DataFrame, depth_first: bool = True, by_degree:
     return undirected.select("src", "dst", F.lit(0).alias("g")).groupBy("g").applyInPandas(order, "at long, v long")
 
 
+def level_stream(undirected: DataFrame) -> DataFrame:
+    """undirected(src, dst) -> at, v: the breadth-first stream for graphs of any size. Vertices come level by level from the smallest
+    vertex of the largest degree, in a level by descending degree and id; those never reached follow by degree and id."""
+    top = max_degree_vertex(undirected).collect()
+    if top[0]["v"] is None:
+        return undirected.select(F.col("src").alias("at"), F.col("src").alias("v")).where("false")
+    levels = materialize(bfs(undirected, top[0]["v"]).select("v", "level"), "levels")
+    rows = out_degree(undirected).join(levels, "v", "left").select("v", F.coalesce("level", F.lit((1 << 62))).alias("level"), (-F.col("degree")).alias("less"))
+    return numbered(rows, "level", "less", "v", name="at").select("at", "v")
+
+
 def _check(edges: DataFrame, most: int) -> None:
     if (n := edges.count()) > most:
         raise ValueError(f"{n} edges are too many for one sequential stream (at most {most}): use greedy_batches")
@@ -173,7 +193,7 @@ def greedy_partition(undirected: DataFrame, parts: int, most_edges: int = STREAM
 
 def greedy_batches(undirected: DataFrame, stream: DataFrame, parts: int, batch: int) -> DataFrame:
     """stream(at, v) cut into contiguous batches of ``batch`` vertices, each assigned against its own placements
-    only: v, part. Batches are bounded and independent; this is the form for graphs of any size."""
+    only: v, part. Batches are bounded and independent; with level_stream() this is the form for graphs of any size."""
     at = stream.withColumn("batch", F.floor(F.col("at") / batch))
     a = at.select(F.col("v").alias("src"), F.col("batch").alias("a"))
     b = at.select(F.col("v").alias("dst"), F.col("batch").alias("b"))
@@ -190,6 +210,4 @@ def greedy_batches(undirected: DataFrame, stream: DataFrame, parts: int, batch:
 
 def relabel_by_partition(owned: DataFrame) -> DataFrame:
     """v, part -> v, id: the place in the parts' lists one after another, each ascending."""
-    from ..functions.session import numbered
-
     return numbered(owned.select("v", "part"), "part", "v", name="id").select("v", "id")

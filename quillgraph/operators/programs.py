@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,30 @@ def process_edges(active: DataFrame, edges: DataFrame, message: Column, reduce:
     return met.select(F.col("dst").alias("v"), message.alias("m")).groupBy("v").agg(reduce(F.col("m")).alias("value"))
 
 
+def next_frontier(active: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """v: the vertices that active(v) reach over an edge and that are not in seen(v)."""
+    met = active.select(F.col("v").alias("src")).join(edges.select("src", "dst"), "src").select(F.col("dst").alias("v")).distinct()
+    return met.join(seen.select("v"), "v", "left_anti")
+
+
+#: Most vertices whose values are gathered on the driver.
+MOST_GATHERED = 50_000_000
+
+
+def gather(values: DataFrame, column: str, missing=0, most: int = MOST_GATHERED) -> np.ndarray:
+    """values(v, column) as one array on the driver, by vertex id; ``missing`` where a vertex has no row. The largest id is checked first."""
+    top = values.agg(F.max("v")).collect()[0][0]
+    if top is None:
+        return np.empty(0)
+    if top >= most:
+        raise ValueError(f"{top + 1} vertices are too many to gather (at most {most})")
+    rows = values.select("v", column).toArrow()
+    got = rows.column(column).to_numpy()
+    out = np.full(top + 1, missing, got.dtype)
+    out[rows.column("v").to_numpy()] = got
+    return out
+
+
 def pagerank(vertices: DataFrame, edges: DataFrame, iterations: int, damping: float = 0.85) -> DataFrame:
     """v, rank: from 1, rank = (1 - damping) + damping x the sum of rank / out-degree of those that point at v; not
     normalized, and what vertices without out-edges hold is not passed on."""

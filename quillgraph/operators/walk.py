@@ -12,6 +12,8 @@ with lineage cut by written tables.
 from __future__ import annotations
 
 import hashlib
+import itertools
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -20,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import xlog2x
 from ..functions.rng import u32, uniform
-from ..functions.session import materialize, numbered
+from ..functions.session import grouped_running, materialize, numbered
 from .edges import out_degree
 
 MIN_STEPS, CORR_BOUND, KL_STEP, INIT_ROUNDS = 20, 0.999, 0.001, 5
@@ -43,31 +45,39 @@ def draw_local(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAW
     src, dst, accept = src[order], dst[order].astype(np.int64), accept[order].astype(np.float64)
     top = int(max(src.max(), dst.max())) + 1 if len(src) else 0
     offsets = np.concatenate([[0], np.cumsum(np.bincount(src, minlength=top))]) if len(src) else np.zeros(1, np.int64)
-    sc = walkers.sparkSession.sparkContext
-    shared = sc.broadcast((offsets, dst, accept))
+    alone = np.zeros(len(offsets) - 1, bool)  # vertices whose only rows are the two of a self-loop
+    two = np.flatnonzero(np.diff(offsets) == 2)
+    alone[two] = dst[offsets[two]] == two
+    own = np.flatnonzero(src == dst)
+    shared = walkers.sparkSession.sparkContext.broadcast((offsets, dst, accept, alone, own))
 
     def run(batches):
-        offs, dst, accept = shared.value
+        offs, dst, accept, alone, own = shared.value
+        loops = np.bincount(np.searchsorted(offs, own, "right") - 1, minlength=len(offs)) if len(own) else np.zeros(len(offs), np.int64)
         md5 = hashlib.md5
         for pdf in batches:
-            out = []
-            for round_, walker, cur in zip(pdf["round"].tolist(), pdf["walker"].tolist(), pdf["cur"].tolist()):
-                for k in range(max_draws):
-                    if cur >= len(offs) - 1:
-                        break
-                    a, b = int(offs[cur]), int(offs[cur + 1])
-                    if a == b or (b - a == 2 and dst[a] == cur):
-                        break
-                    pool = [i for i in range(a, b) if dst[i] != cur] if k == 0 else range(a, b)
-                    if not pool:
-                        break
-                    key = f"{salt}|{round_}|{walker}|{k}|"
-                    i = pool[int(md5((key + "n").encode()).hexdigest()[:8], 16) % len(pool)]
-                    rejected = bool(accept[i] <= int(md5((key + "a").encode()).hexdigest()[:8], 16) / 4294967296.0)
-                    out.append((round_, walker, k, cur, int(dst[i]), rejected))
-                    if not rejected:
-                        cur = int(dst[i])
-            yield pd.DataFrame(out, columns=["round", "walker", "k", "cur", "cand", "rejected"])
+            round_, walker, cur = (pdf[c].to_numpy(np.int64) for c in ("round", "walker", "cur"))
+            keys = [f"{salt}|{r}|{w}|" for r, w in zip(round_.tolist(), walker.tolist())]
+            alive = np.flatnonzero((cur >= 0) & (cur < len(offs) - 1))
+            for k in range(max_draws):
+                # a step of all walkers at once; only the hashes are made one by one
+                at = cur[alive]
+                size = offs[at + 1] - offs[at] - (loops[at] if k == 0 else 0)
+                go = (size > 0) & ~alone[at]
+                alive, at, size = alive[go], at[go], size[go]
+                if not len(alive):
+                    break
+                heads = [f"{keys[i]}{k}|" for i in alive.tolist()]
+                draw = np.frombuffer(b"".join([md5((x + "n").encode()).digest()[:4] for x in heads]), ">u4").astype(np.int64)
+                share = np.frombuffer(b"".join([md5((x + "a").encode()).digest()[:4] for x in heads]), ">u4") / 4294967296.0
+                place = offs[at] + draw % size
+                if k == 0 and len(own):  # the first step leaves the self-loops out, which lie together
+                    first = np.searchsorted(own, offs[at])
+                    loop = own[np.minimum(first, len(own) - 1)]
+                    place = np.where((loops[at] > 0) & (place >= loop), place + loops[at], place)
+                cand, rejected = dst[place], accept[place] <= share
+                yield pd.DataFrame({"round": round_[alive].astype(np.int32), "walker": walker[alive], "k": np.int32(k), "cur": at, "cand": cand, "rejected": rejected})
+                cur[alive] = np.where(rejected, at, cand)
 
     return walkers.repartition(F.col("walker")).mapInPandas(run, DRAWS)
 
@@ -84,8 +94,8 @@ def _numbered_neighbours(chances: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def draw_joined(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
-    """The same draws by joins: a walker meets its vertex's degree, then the neighbour of the number it drew. Every
-    fourth step is written."""
+    """The same draws by joins: a walker meets its vertex's degree, then the neighbour of the number it drew. Every step is
+    written, so none is made twice."""
     rows, heads = _numbered_neighbours(chances)
     others, other_heads = _numbered_neighbours(chances.where("src <> dst"))
     now, out = walkers, None
@@ -96,11 +106,12 @@ def draw_joined(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRA
         met = met.withColumn("i", F.pmod(u32(salt, F.col("round"), F.col("walker"), k, "n"), F.col("degree")))
         step = met.join((others if k == 0 else rows).withColumnRenamed("src", "cur"), ["cur", "i"])
         step = step.select("round", "walker", F.lit(k).alias("k"), "cur", F.col("dst").alias("cand"), (F.col("accept") <= uniform(salt, F.col("round"), F.col("walker"), k, "a")).alias("rejected"))
-        if k % 4 == 3:
-            step = materialize(step, "draws")
+        step = materialize(step, "draws")
+        if step.isEmpty():
+            break
         out = step if out is None else out.unionByName(step)
         now = step.select("round", "walker", F.when(F.col("rejected"), F.col("cur")).otherwise(F.col("cand")).alias("cur"))
-    return out
+    return walkers.sparkSession.createDataFrame([], DRAWS) if out is None else out
 
 
 def draw(walkers: DataFrame, chances: DataFrame, max_draws: int = MAX_DRAWS, salt: int = 7, broadcast_edges: int = BROADCAST_EDGES) -> DataFrame:
@@ -139,27 +150,33 @@ def cut(rows: DataFrame, min_steps: int = MIN_STEPS, bound: float = CORR_BOUND)
     return rows.where(F.col("stop").isNull() | (F.col("step") <= F.col("stop"))).withColumn("capped", F.col("stop").isNull())
 
 
-#: Draws after which nearly every walk has stopped: the rest are drawn again up to the cap.
+#: Draws after which nearly every walk has stopped.
 FIRST_DRAWS = 24
 
 
-def entropy_walk(walkers: DataFrame, chances: DataFrame, min_steps: int = MIN_STEPS, bound: float = CORR_BOUND, max_draws: int = MAX_DRAWS, salt: int = 7) -> DataFrame:
+def entropy_walk(walkers: DataFrame, chances: DataFrame, min_steps: int = MIN_STEPS, bound: float = CORR_BOUND, max_draws: int | None = None, salt: int = 7) -> DataFrame:
     """round, walker, step, vertex, h, r, capped.
 
     Whether a walk stops depends on its start only, so all walkers make a few draws, and those that have not stopped
-    by then are walked again, to the cap.
+    by then are walked again with twice as many, until each has stopped or stands where no draw can be made; with
+    ``max_draws`` until then, and walks that go on beyond are marked as capped.
     """
     chances = materialize(chances.select("src", "dst", "accept"), "chances")
-
-    def go(some: DataFrame, draws: int) -> DataFrame:
-        made = materialize(draw(some, chances, draws, salt), "draws")
-        return cut(running(visits(some, made)), min_steps, bound).drop("k", "stop")
-
-    if max_draws <= FIRST_DRAWS:
-        return go(walkers, max_draws)
-    first = materialize(go(walkers, FIRST_DRAWS), "walks")
-    left = first.where("capped and step = 0").select("round", "walker", F.col("vertex").alias("cur"))
-    return first.where("not capped").unionByName(go(materialize(left, "walkers"), max_draws))
+    draws, left, out = FIRST_DRAWS, walkers, None
+    while True:
+        draws = draws if max_draws is None else min(draws, max_draws)
+        made = materialize(draw(left, chances, draws, salt), "draws")
+        seen = cut(running(visits(left, made)), min_steps, bound).drop("stop")
+        # a walk that nothing has stopped has come to its end if it made fewer draws
+        last = F.max("k").over(Window.partitionBy("round", "walker"))
+        seen = materialize(seen.withColumn("capped", F.col("capped") & (last == draws - 1)).drop("k"), "walks")
+        done = draws == max_draws
+        now = seen if done else seen.where("not capped")
+        out = now if out is None else out.unionByName(now)
+        left = materialize(seen.where("capped and step = 0").select("round", "walker", F.col("vertex").alias("cur")), "walkers")
+        if done or left.isEmpty():
+            return out
+        draws *= 2
 
 
 def paths(seen: DataFrame) -> DataFrame:
@@ -168,6 +185,11 @@ def paths(seen: DataFrame) -> DataFrame:
     return seen.groupBy("round", "walker").agg(F.transform(steps, lambda x: x["vertex"]).alias("path"))
 
 
+def consume_paths(path: DataFrame, consumer: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
+    """What ``consumer`` makes of batches of paths(round, walker, path), where they are: paths are never gathered."""
+    return path.mapInPandas(lambda batches: map(consumer, batches), schema)
+
+
 def visit_counts(seen: DataFrame) -> DataFrame:
     return seen.groupBy(F.col("vertex").alias("v")).agg(F.count("*").alias("cn"))
 
@@ -182,13 +204,16 @@ def relative_entropy(undirected: DataFrame, counts: DataFrame) -> DataFrame:
     return rows.agg(F.sum(F.when(q == 0, F.lit(float("inf"))).otherwise(p * (F.ln(p) - F.ln(q)))).alias("d"))
 
 
-def rounds(spark, undirected: DataFrame, chances: DataFrame, vertices: int, walkers: int, init_rounds: int = INIT_ROUNDS, tolerance: float = KL_STEP, max_rounds: int = 20, **options) -> DataFrame:
+def rounds(spark, undirected: DataFrame, chances: DataFrame, vertices: int, walkers: int, init_rounds: int = INIT_ROUNDS, tolerance: float = KL_STEP, max_rounds: int | None = None, **options) -> DataFrame:
     """Rounds of walks until the relative entropy of degrees against all visits moves by at most the tolerance: round, d, visits.
 
-    The first round has walkers x init_rounds walkers, each later one walkers.
+    The first round has walkers x init_rounds walkers, each later one walkers. With ``max_rounds``, rounds that have not settled
+    by then are an error.
     """
     counts, out, before = None, [], 0.0
-    for i in range(max_rounds):
+    for i in itertools.count():
+        if i == max_rounds:
+            raise RuntimeError(f"the rounds have not settled after {max_rounds}")
         seen = entropy_walk(init_walkers(spark, walkers * (init_rounds if i == 0 else 1), vertices, i), chances, **options)
         now = visit_counts(seen)
         now = now if counts is None else counts.unionByName(now).groupBy("v").agg(F.sum("cn").alias("cn"))
@@ -208,10 +233,9 @@ BUCKET = 16
 def _weight_buckets(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(src, bucket, dst, low, upto): each vertex's neighbours by dst with the running weight before and with them, in every
     bucket of equal weight that they reach into; (src, whole, buckets). Rows exceed the edges by a BUCKET-th at most."""
-    rows = edges.select("src", "dst", F.col("w").cast("double").alias("w"))
-    order = Window.partitionBy("src").orderBy("dst").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("upto", F.sum("w").over(order))
-    rows = rows.withColumn("low", F.coalesce(F.lag("upto").over(Window.partitionBy("src").orderBy("dst", "upto")), F.lit(0.0)))
+    # parallel edges are one of their whole weight, so that dst is a total order
+    rows = edges.groupBy("src", "dst").agg(F.sum(F.col("w").cast("double")).alias("w"))
+    rows = materialize(grouped_running(rows, "src", "w", "dst"), "weights").withColumn("low", F.col("upto") - F.col("w"))
     heads = materialize(rows.groupBy("src").agg(F.max("upto").alias("whole"), F.ceil(F.count("*") / BUCKET).alias("buckets")), "heads")
     rows = rows.join(heads, "src")
     at = lambda x: F.floor(F.col(x) / F.col("whole") * F.col("buckets"))

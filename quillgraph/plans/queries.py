@@ -1,10 +1,14 @@
 """Registered queries of the graph operators over whole tables, each with its SQL where SQL can express it.
 
 Graphs: ``co`` (parts bought together), ``succ`` (next part in an order) and ``trade`` (customer to supplier).
+Tables that many queries begin with (the dense graph, its acceptance chances, the walk of every vertex, its vocabulary) are written once a session
+by the first that needs them.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,21 @@ def query(sql: str | None = None):
     return add
 
 
+_KEPT: dict = {}
+
+
+def once(f):
+    """What f(spark, d) gives, made once a session for the inputs in ``d``; all of it are written tables."""
+
+    def get(spark, d):
+        key = (spark.sparkContext.applicationId, d, f.__name__)
+        if key not in _KEPT:
+            _KEPT[key] = f(spark, d)
+        return _KEPT[key]
+
+    return get
+
+
 def co(spark: SparkSession, d: str) -> DataFrame:
     return graphs.co_purchase(spark, d)
 
@@ -39,6 +58,7 @@ def und(spark: SparkSession, d: str) -> DataFrame:
     return edges.to_undirected(co(spark, d))
 
 
+@once
 def dense(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """(the co-purchase graph with dense ids, once-given; v -> id), written once."""
     g = materialize(co(spark, d), "co")
@@ -46,6 +66,12 @@ def dense(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return materialize(edges.relabel(g, ids), "dense"), ids
 
 
+@once
+def acceptance(spark: SparkSession, d: str) -> DataFrame:
+    """Acceptance chances of the dense graph."""
+    return materialize(edges.accept_chances(dense(spark, d)[0]), "chances")
+
+
 DEG_SQL = UNDIRECTED_SQL + ", deg as (select src as v, count(*) as degree from und group by src)"
 IDS_SQL = DEG_SQL + ", ids as (select v, row_number() over (order by v) - 1 as id from deg)"
 
@@ -62,14 +88,11 @@ def transpose(spark, d):
     return edges.transpose(graphs.succession(spark, d))
 
 
-@query(f"with {SUCCESSION_SQL} select src, dst, w from succ where src < 1000 and dst < 1000")
+@query(f"with {SUCCESSION_SQL}, n as (select count(distinct v) as n from (select src as v from succ union all select dst from succ)) select src, dst, w from succ, n where src < n and dst < n")
 def valid_edge_filter(spark, d):
-    return edges.valid_edges(graphs.succession(spark, d), 1000)
-
-
-@query(f"with {DEG_SQL} select v from deg where v >= 100 and v < 200")
-def local_vertex_filter(spark, d):
-    return edges.local_vertices(edges.vertices_of(co(spark, d)), 100, 200)
+    """Ids below the number of vertices; ids begin with one, so the last vertex's edges go."""
+    g = materialize(graphs.succession(spark, d), "succ")
+    return edges.valid_edges(g, edges.vertices_of(g).count())
 
 
 @query("select distinct l_orderkey as src, l_partkey as dst from lineitem")
@@ -125,9 +148,7 @@ def accept_chance(spark, d):
 def sorted_intersection(spark, d):
     """Suppliers shared by customers whose ids follow each other."""
     lists = materialize(edges.sort_adjacency(graphs.trade(spark, d)), "lists")
-    nxt = lists.select((F.col("src") - 1).alias("src"), F.col("nbrs").alias("other"))
-    n = F.size(F.array_intersect("nbrs", "other")).cast("long")
-    return lists.join(nxt, "src").select(F.col("src").alias("x"), (F.col("src") + 1).alias("y"), n.alias("shared")).where("shared > 0")
+    return edges.shared_neighbours(lists, lists.select(F.col("src").alias("x"), (F.col("src") + 1).alias("y")))
 
 
 @query(f"with {SUCCESSION_SQL} select a.src, a.dst, coalesce(b.w, 0) as w from succ a left join succ b on a.src = b.dst and a.dst = b.src")
@@ -155,19 +176,13 @@ def pair_key(spark, d):
     return g.select(edges.pair_key(F.col("src"), F.col("dst")).alias("key"), "w")
 
 
-@query(f"with {SUCCESSION_SQL} select src, dst, w from succ where src < 200 or dst < 200")
-def scan_cn_pairs(spark, d):
-    """Weighted pairs with an end in a vertex range."""
-    return graphs.succession(spark, d).where("src < 200 or dst < 200")
-
-
-@query(f"with {IDS_SQL} select id as walker, len(list(dst)) as nbrs from ids join und on und.src = ids.v group by id")
+@query(f"with {IDS_SQL} select a.id as walker, array_to_string(list(b.id order by b.id), ' ') as nbrs from ids a join und on und.src = a.v join ids b on und.dst = b.v group by a.id")
 def walker_adjacency(spark, d):
     """Each walker of one round meets its vertex's adjacency."""
     g, ids = dense(spark, d)
     lists = edges.sort_adjacency(edges.to_undirected(g))
     walkers = walk.init_walkers(spark, ids.count(), ids.count())
-    return walkers.join(lists, walkers["cur"] == lists["src"]).select("walker", F.size("nbrs").cast("long").alias("nbrs"))
+    return walkers.join(lists, walkers["cur"] == lists["src"]).select("walker", F.concat_ws(" ", F.transform("nbrs", lambda x: x.cast("string"))).alias("nbrs"))
 
 
 # -- aggregates ------------------------------------------------------------------------------------------------
@@ -206,12 +221,11 @@ def process_vertices(spark, d):
     return programs.process_vertices(edges.out_degree(graphs.trade(spark, d)), F.col("degree"), F.col("degree") > 10)
 
 
-@query(f"with {SUCCESSION_SQL} select dst as v, sum(w) as value from succ where src < 500 group by dst")
+@query(f"with {SUCCESSION_SQL} select dst as v, sum(w) as value from succ group by dst")
 def process_edges(spark, d):
-    """Vertices below 500 send their edges' weights; each target sums them."""
+    """All vertices send their edges' weights; each target sums them."""
     g = materialize(graphs.succession(spark, d), "succ")
-    active = edges.vertices_of(g).where("v < 500")
-    return programs.process_edges(active, g, F.col("w"), F.sum)
+    return programs.process_edges(edges.vertices_of(g), g, F.col("w"), F.sum)
 
 
 # -- scalar functions ------------------------------------------------------------------------------------------
@@ -229,7 +243,7 @@ def scalar_functions(spark, d):
 
 # -- partitions ------------------------------------------------------------------------------------------------
 
-RANGES_SQL = f"""with recursive {IDS_SQL}, loads as (select id as v, degree + 5 as load, cast(sum(degree + 5) over (order by id) as bigint) as upto from ids join deg using (v)),
+_RANGES = f"""loads as (select id as v, degree + 5 as load, cast(sum(degree + 5) over (order by id) as bigint) as upto from ids join deg using (v)),
 whole as (select max(upto) as total, max(v) + 1 as n, cast(ceil(max(upto) / {PARTS}) as bigint) as goal from loads),
 parts(p, start, stop, base) as (
   select -1, 0::bigint, 0::bigint, 0::bigint
@@ -239,14 +253,16 @@ parts(p, start, stop, base) as (
     coalesce((select min(upto) from loads where upto >= base + (select goal from whole)), (select total from whole))
   from parts where p + 1 < {PARTS}),
 owned as (select v, p as part from loads join parts on v >= start and v < stop where p >= 0)"""
+RANGES_SQL = f"with recursive {IDS_SQL}, {_RANGES}"
 
 
+@once
 def owned(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     g, ids = dense(spark, d)
     both = edges.to_undirected(g)
     vertices = ids.select(F.col("id").alias("v"))
     ranges = partition.workload_ranges(vertices, both, PARTS)
-    return g, ranges, partition.owner(vertices, ranges)
+    return g, ranges, materialize(partition.owner(vertices, ranges), "owned")
 
 
 @query(f'{RANGES_SQL} select p, start as "begin", stop as "end" from parts where p >= 0')
@@ -254,6 +270,23 @@ def workload_ranges(spark, d):
     return owned(spark, d)[1]
 
 
+@query(f"{RANGES_SQL} select v, part from owned")
+def local_vertex_filter(spark, d):
+    """Each part's own vertices, by the bounds of its range."""
+    _, ranges, o = owned(spark, d)
+    locals_ = [edges.local_vertices(o.select("v"), r["begin"], r["end"]).withColumn("part", F.lit(r["p"])) for r in ranges.collect()]
+    return functools.reduce(DataFrame.unionByName, locals_)
+
+
+@query(f"with recursive {CN_SQL}, ids as (select v, row_number() over (order by v) - 1 as id from deg), {_RANGES}, pairs as (select a.id as src, b.id as dst, cn from cn join ids a on cn.src = a.v join ids b on cn.dst = b.v) select distinct part, (src << 32) | dst as key, cast(cn as bigint) as cn from pairs join owned on v in (src, dst)")
+def scan_cn_pairs(spark, d):
+    """The common-neighbour counts that each part looks up, from a file of weighted pairs."""
+    g, _, o = owned(spark, d)
+    folder = shared_dir(spark, "pairs")
+    files.write_edge_text(edges.common_neighbours(g).select("src", "dst", "cn"), folder)
+    return edges.local_pairs(files.read_edge_text(spark, folder, "long").withColumnRenamed("w", "cn"), o)
+
+
 @query(f"{RANGES_SQL} select v, part from owned")
 def owner_lookup(spark, d):
     return owned(spark, d)[2]
@@ -300,6 +333,22 @@ def chunk_ranges(spark, d):
     return partition.chunk_ranges(ids.select(F.col("id").alias("v")), edges.to_undirected(g), PARTS, 64)
 
 
+def _stream_sql(depth_first: bool, by_degree: bool) -> str:
+    """A search whose table of put-aside and visited vertices is read and changed in place, a vertex a step."""
+    order = ("degree, dst" if depth_first else "-degree, dst") if by_degree else "dst"
+    pick = "arg_max" if depth_first else "arg_min"
+    return f"""nbrs as (select src, dst, row_number() over (partition by src order by {order}) as r from und join deg on dst = deg.v),
+search(v, seq, k) using key (v) as (
+  (select v, 0::bigint, cast(null as bigint) from deg order by degree desc, v limit 1)
+  union
+  select case when side = 0 then n.v else u.dst end, case when side = 0 then n.seq else (n.k + 1) * 1000000000 + u.r end, case when side = 0 then n.k end
+  from (select {pick}(v, seq) filter (k is null) as v, {pick}(seq, seq) filter (k is null) as seq, count(k) as k from recurring.search) n
+  join (select src, dst, r, 1 as side from nbrs union all select distinct src, src, 0, 0 from nbrs) u on u.src = n.v
+  where side = 0 or u.dst not in (select v from recurring.search)),
+stream as (select k, v from search union all
+  select (select count(*) from search) + row_number() over (order by v) - 1, v from deg where v not in (select v from search))"""
+
+
 def _stream(depth_first: bool, by_degree: bool):
     def run(spark, d):
         return partition.stream_vertices(und(spark, d), depth_first, by_degree)
@@ -309,21 +358,50 @@ def _stream(depth_first: bool, by_degree: bool):
 
 for _name, _depth, _degree in (("stream_dfs", True, False), ("stream_dfs_degree", True, True), ("stream_bfs", False, False), ("stream_bfs_degree", False, True)):
     QUERIES[_name] = _stream(_depth, _degree)
+    ORACLE_SQL[_name] = f'with recursive {DEG_SQL}, {_stream_sql(_depth, _degree)} select k as "at", v from stream'
+
+_LEVELS = """level(v, level) as (select v, 0::bigint from (select v from deg order by degree desc, v limit 1) union select dst, level + 1 from level join und on level.v = und.src where level < 30),
+stream as (select row_number() over (order by level nulls last, degree desc, v) - 1 as k, v from deg left join (select v, min(level) as level from level group by v) using (v))"""
 
 
+@query(f'with recursive {DEG_SQL}, {_LEVELS} select k as "at", v from stream')
+def stream_levels(spark, d):
+    """The stream for graphs of any size."""
+    return partition.level_stream(und(spark, d))
+
+
+@once
 def _weighted(spark, d) -> DataFrame:
     return materialize(edges.to_undirected(edges.common_neighbours(co(spark, d))).select("src", "dst", F.col("cn").cast("double").alias("w")), "weighted")
 
 
-@query()
+def _greedy_sql(stream: str, batch: int) -> str:
+    """Each batch places a vertex a step, scored by its neighbours that the batch has placed already."""
+    return f"""with recursive {CN_SQL}, {stream},
+places as (select v, k // {batch} as batch, k % {batch} as k from stream),
+near as (select a.batch, a.k, b.k as other, e.cn + 1 as w from places a join (select src, dst, cn from cn union all select dst, src, cn from cn) e on e.src = a.v
+  join places b on e.dst = b.v and a.batch = b.batch and b.k < a.k),
+steps(batch, k, part) using key (batch, k) as (
+  select distinct batch, 0::bigint, 0::bigint from places
+  union
+  select batch, k, arg_max(p, (score, -p)) from (
+    select n.batch, n.k, n.p, (1.0::double + coalesce(gain, 0)) * (1 - coalesce(size, 0) / ({partition.BETA}::double * n.k / {PARTS})) as score
+    from (select s.batch, s.k + 1 as k, p from steps s join places l on l.batch = s.batch and l.k = s.k + 1 cross join range({PARTS}) r(p)) n
+    left join (select s.batch, r.part as p, sum(near.w) as gain from steps s join near on near.batch = s.batch and near.k = s.k + 1 join recurring.steps r on r.batch = near.batch and r.k = near.other group by all) g using (batch, p)
+    left join (select batch, part as p, count(*) as size from recurring.steps group by all) z using (batch, p))
+  group by batch, k)
+select v, cast(part as int) as part from places join steps using (batch, k)"""
+
+
+@query(_greedy_sql(_stream_sql(True, True), 1 << 40))
 def greedy_partition(spark, d):
     return partition.greedy_partition(_weighted(spark, d), PARTS)
 
 
-@query()
+@query(_greedy_sql(_LEVELS, 500))
 def greedy_batches(spark, d):
     g = _weighted(spark, d)
-    return partition.greedy_batches(g, materialize(partition.stream_vertices(g), "stream"), PARTS, 500)
+    return partition.greedy_batches(g, materialize(partition.level_stream(g), "stream"), PARTS, 500)
 
 
 # -- walks -----------------------------------------------------------------------------------------------------
@@ -335,30 +413,37 @@ def _u(w: str, k: str, p: str) -> str:
     return rng.u32_sql(_KEY.format(w=w, k=k, p=p))
 
 
-WALK_SQL = f"""with recursive {ACCEPT_SQL}, ids as (select v, row_number() over (order by v) - 1 as id from deg),
+def _walk_sql(bound: float = walk.CORR_BOUND, draws: int = walk.MAX_DRAWS) -> str:
+    return f"""with recursive {ACCEPT_SQL}, ids as (select v, row_number() over (order by v) - 1 as id from deg),
 dacc as (select a.id as src, b.id as dst, accept from acc join ids a on acc.src = a.v join ids b on acc.dst = b.v),
 adj as (select src, list({{'dst': dst, 'accept': accept}} order by dst) as nbrs from dacc group by src),
 draws(walker, k, cur, cand, rejected) as (
   select src, 0, src, nbrs[1 + {_u('src', '0', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('src', '0', 'n')} % len(nbrs)].accept <= {_u('src', '0', 'a')} / 4294967296.0::double from adj
   union all
   select walker, k + 1, src, nbrs[1 + {_u('walker', '(k + 1)', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('walker', '(k + 1)', 'n')} % len(nbrs)].accept <= {_u('walker', '(k + 1)', 'a')} / 4294967296.0::double
-  from draws join adj on adj.src = case when rejected then cur else cand end where k + 1 < {walk.MAX_DRAWS}),
+  from draws join adj on adj.src = case when rejected then cur else cand end where k + 1 < {draws}),
 halves as (select distinct walker, -1 as k, 0 as half, walker as vertex from draws union all select walker, k, 0, cand from draws union all select walker, k, 1, cur from draws where rejected),
 steps as (select walker, row_number() over (partition by walker order by k, half) - 1 as step, vertex from halves),
 freq as (select *, cast(row_number() over (partition by walker, vertex order by step) as double) as f, cast(step + 1 as double) as n from steps),
 ent as (select *, log2(n) - sum(f * log2(f) - case when f > 1 then (f - 1) * log2(f - 1) else 0 end) over (partition by walker order by step) / n as h from freq),
 cor as (select *, corr(round(h, 12), n) over (partition by walker order by step) as c from ent),
 rr as (select *, case when step = 0 then 1.0::double when c is null or isnan(c) then 0.0::double else c end as r from cor),
-ends as (select walker, min(step) as stop from rr where step > {walk.MIN_STEPS} and (r * r < {walk.CORR_BOUND} or r < 0) group by walker),
+ends as (select walker, min(step) as stop from rr where step > {walk.MIN_STEPS} and (r * r < {bound} or r < 0) group by walker),
 vis as (select rr.walker, step, vertex, h, r, stop is null as capped from rr left join ends on rr.walker = ends.walker where stop is null or step <= stop)"""
 
 
-def walked(spark, d, **options) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(visits, once-given dense graph, v -> id, chances): one walker a vertex."""
-    g, ids = dense(spark, d)
-    chances = materialize(edges.accept_chances(g), "chances")
-    n = ids.count()
-    return materialize(walk.entropy_walk(walk.init_walkers(spark, n, n), chances, **options), "visits"), g, ids, chances
+WALK_SQL = _walk_sql()
+
+
+def _walk(spark, d, **options) -> DataFrame:
+    n = dense(spark, d)[1].count()
+    return materialize(walk.entropy_walk(walk.init_walkers(spark, n, n), acceptance(spark, d), **options), "visits")
+
+
+@once
+def walked(spark, d) -> DataFrame:
+    """Visits of one walker a vertex."""
+    return _walk(spark, d)
 
 
 @query(f"with {IDS_SQL} select cast(0 as int) as round, id as walker, id as cur from ids")
@@ -369,22 +454,49 @@ def init_walkers(spark, d):
 
 @query(f"{WALK_SQL} select walker, cast(step as int) as step, vertex, capped from vis")
 def walk_visits(spark, d):
-    return walked(spark, d)[0].select("walker", "step", "vertex", "capped")
+    return walked(spark, d).select("walker", "step", "vertex", "capped")
 
 
 @query(f"{WALK_SQL} select walker, cast(step as int) as step, round(h, 6) + 0.0 as h from vis")
 def entropy_running(spark, d):
-    return walked(spark, d)[0].select("walker", "step", (F.round("h", 6) + 0.0).alias("h"))
+    return walked(spark, d).select("walker", "step", (F.round("h", 6) + 0.0).alias("h"))
 
 
 @query(f"{WALK_SQL} select walker, cast(step as int) as step, round(r, 6) + 0.0 as r from vis")
 def corr_running(spark, d):
-    return walked(spark, d)[0].select("walker", "step", (F.round("r", 6) + 0.0).alias("r"))
+    return walked(spark, d).select("walker", "step", (F.round("r", 6) + 0.0).alias("r"))
 
 
 @query(f"{WALK_SQL} select walker, cast(max(step) as int) as stop from vis group by walker")
 def stop_step(spark, d):
-    return walked(spark, d)[0].groupBy("walker").agg(F.max("step").alias("stop"))
+    return walked(spark, d).groupBy("walker").agg(F.max("step").alias("stop"))
+
+
+#: A bound at which many walks go on after the first step at which the rule is asked.
+LONG_BOUND = 0.85
+
+
+@query(f"{_walk_sql(LONG_BOUND, 256)} select walker, cast(max(step) as int) as stop, capped from vis group by walker, capped")
+def stop_step_long(spark, d):
+    """Walks that are drawn on until each has stopped."""
+    return _walk(spark, d, bound=LONG_BOUND).groupBy("walker", "capped").agg(F.max("step").alias("stop"))
+
+
+@query(f"{_walk_sql(LONG_BOUND, 30)} select walker, cast(max(step) as int) as stop, capped from vis group by walker, capped")
+def walk_capped(spark, d):
+    """Walks of at most 30 draws, the rest marked."""
+    return _walk(spark, d, bound=LONG_BOUND, max_draws=30).groupBy("walker", "capped").agg(F.max("step").alias("stop"))
+
+
+@query(f"{_walk_sql()}, paths as (select walker, list(vertex order by step) as path from vis group by walker) select walker, len(path) as visits, path[len(path)] as last from paths")
+def path_consumer(spark, d):
+    """A function of batches of finished paths, called where they are."""
+    import pandas as pd
+
+    def ends(paths: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"walker": paths["walker"], "visits": paths["path"].map(len), "last": paths["path"].map(lambda p: p[-1])})
+
+    return walk.consume_paths(walk.paths(walked(spark, d)), ends, "walker long, visits long, last long")
 
 
 PATHS_SQL = WALK_SQL + ", paths as (select walker, list(vertex order by step) as path from vis group by walker)"
@@ -393,47 +505,45 @@ VOCAB_SQL = WALK_SQL + ", counts as (select vertex as v, count(*) as cn from vis
 
 @query(f"{PATHS_SQL} select walker, array_to_string(path, ' ') as path from paths")
 def walk_paths(spark, d):
-    return walk.paths(walked(spark, d)[0]).select("walker", F.concat_ws(" ", F.transform("path", lambda x: x.cast("string"))).alias("path"))
+    return walk.paths(walked(spark, d)).select("walker", F.concat_ws(" ", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
 @query(f"{VOCAB_SQL} select v, cn from counts")
 def visit_freq(spark, d):
-    return walk.visit_counts(walked(spark, d)[0])
+    return walk.visit_counts(walked(spark, d))
 
 
 @query(f"{VOCAB_SQL} select cast(sum(cn) as bigint) as tokens from counts")
 def corpus_size(spark, d):
-    return corpus.corpus_size(walk.visit_counts(walked(spark, d)[0]))
+    return corpus.corpus_size(walk.visit_counts(walked(spark, d)))
 
 
 @query(f"""{VOCAB_SQL}, p as (select id, degree / sum(degree) over () as p from deg join ids using (v)), q as (select v, cn / sum(cn) over () as q from counts)
 select round(sum(p * (ln(p) - ln(q))), 9) as d from p join q on p.id = q.v""")
 def relative_entropy(spark, d):
-    seen, g, _, _ = walked(spark, d)
+    seen, g = walked(spark, d), dense(spark, d)[0]
     return walk.relative_entropy(edges.to_undirected(g), materialize(walk.visit_counts(seen), "counts")).select(F.round("d", 9).alias("d"))
 
 
 @query()
 def round_driver(spark, d):
     g, ids = dense(spark, d)
-    chances = materialize(edges.accept_chances(g), "chances")
     n = ids.count()
-    return walk.rounds(spark, edges.to_undirected(g), chances, n, n)
+    return walk.rounds(spark, edges.to_undirected(g), acceptance(spark, d), n, n)
 
 
 @query(f"{WALK_SQL} select walker, count(*) filter (rejected) as backs from draws group by walker")
 def backtracks(spark, d):
     """Rejected draws of each walker, of all it may make."""
-    g, ids = dense(spark, d)
-    n = ids.count()
-    draws = walk.draw(walk.init_walkers(spark, n, n), materialize(edges.accept_chances(g), "chances"))
+    n = dense(spark, d)[1].count()
+    draws = walk.draw(walk.init_walkers(spark, n, n), acceptance(spark, d))
     return draws.groupBy("walker").agg(F.count_if(F.col("rejected")).alias("backs"))
 
 
 @query(f"""{VOCAB_SQL}, near as (select *, vertex % {PARTS} as part, lag(vertex % {PARTS}) over (partition by walker order by step) as before from vis)
 select count(*) filter (step > 0) as steps, count(*) filter (before <> part) as cross, count(*) filter (before = part) as local from near""")
 def walk_counters(spark, d):
-    return corpus.walk_counters(walked(spark, d)[0], F.pmod("vertex", F.lit(PARTS)))
+    return corpus.walk_counters(walked(spark, d), F.pmod("vertex", F.lit(PARTS)))
 
 
 BIASED_SQL = f"""with recursive {TRADE_SQL}, g as (select src, dst, w from trade union all select dst, src, w from trade),
@@ -455,6 +565,17 @@ def biased_walk(spark, d):
     return walk.weighted_walk(starts, edges.to_undirected(t), 10).drop("round")
 
 
+ENDING_SQL = BIASED_SQL.replace("where w.step < 10 and", f"where w.step < 10 and {rng.u32_sql("'7|0|' || w.walker || '|' || w.step || '|e'")} / 4294967296.0::double >= 0.2::double and")
+
+
+@query(ENDING_SQL)
+def ending_walk(spark, d):
+    """The same walk, ended with a chance of a fifth before each step."""
+    t = materialize(graphs.trade(spark, d), "trade")
+    starts = t.select(F.lit(0).alias("round"), F.col("src").alias("walker"), F.col("src").alias("cur")).distinct()
+    return walk.weighted_walk(starts, edges.to_undirected(t), 10, ends=F.lit(0.2)).drop("round")
+
+
 SECOND_SQL = f"""with recursive {TRADE_SQL}, g as (select src, dst from trade union all select dst, src from trade),
 w(walker, step, vertex, prev) as (
   select distinct src, 0, src, cast(null as bigint) from trade
@@ -477,8 +598,9 @@ def second_order_walk(spark, d):
 # -- corpus ----------------------------------------------------------------------------------------------------
 
 
+@once
 def ranked(spark, d) -> tuple[DataFrame, DataFrame]:
-    seen = walked(spark, d)[0]
+    seen = walked(spark, d)
     return seen, materialize(corpus.vocab_rank(walk.visit_counts(seen)), "vocab")
 
 
@@ -489,7 +611,7 @@ def vocab_rank(spark, d):
 
 @query(f"{VOCAB_SQL} select v, cn, v % {PARTS} as part, row_number() over (partition by v % {PARTS} order by cn desc, v) - 1 as rank from counts")
 def partition_freq_rank(spark, d):
-    return corpus.partition_freq_rank(walk.visit_counts(walked(spark, d)[0]).withColumn("part", F.pmod("v", F.lit(PARTS))))
+    return corpus.partition_freq_rank(walk.visit_counts(walked(spark, d)).withColumn("part", F.pmod("v", F.lit(PARTS))))
 
 
 @query(f"{VOCAB_SQL} select cn, min(rank) as first_rank, count(*) as size from vocab group by cn")
@@ -502,46 +624,64 @@ def unigram_cdf(spark, d):
     return corpus.unigram_cdf(ranked(spark, d)[1]).withColumn("cdf", F.round("cdf", 9))
 
 
-@query(f"{VOCAB_SQL}, t as (select v, 0.001::double * (select sum(cn) from counts)::double / cn as t from counts) select v, round(least(1.0::double, sqrt(t) + t), 9) as keep from t")
+#: Subsampling rate times the number of vertices: vertices of an average count stay with a chance of about 0.65, or 0.03 at the lowest.
+SAMPLE, LOW_SAMPLE = 0.2, 0.001
+_SUBSAMPLE = VOCAB_SQL + """, t as (select v, {sample}::double / (select count(*) from counts) * (select sum(cn) from counts)::double / cn as t from counts),
+stay as (select walker, cast(step as int) as step, vertex from vis join t on vis.vertex = t.v
+  where {u} / 4294967296.0::double < least(1.0::double, sqrt(t) + t))"""
+_STAY = rng.u32_sql("'7|0|' || walker || '|' || step || '|s'")
+
+
+def _subsample_sql(sample: float) -> str:
+    return _SUBSAMPLE.replace("{sample}", repr(sample)).replace("{u}", _STAY)
+
+
+@query(f"{_subsample_sql(SAMPLE)} select v, round(least(1.0::double, sqrt(t) + t), 9) as keep from t")
 def keep_prob(spark, d):
-    counts = materialize(walk.visit_counts(walked(spark, d)[0]), "counts")
-    return corpus.keep_chances(counts).withColumn("keep", F.round("keep", 9))
+    counts = materialize(walk.visit_counts(walked(spark, d)), "counts")
+    return corpus.keep_chances(counts, SAMPLE / counts.count()).withColumn("keep", F.round("keep", 9))
+
 
+def _subsampled(spark, d, sample: float) -> DataFrame:
+    counts = materialize(walk.visit_counts(walked(spark, d)), "counts")
+    return corpus.subsample(walked(spark, d), counts, sample / counts.count())
 
-@query(f"""{VOCAB_SQL}, t as (select v, 0.001::double * (select sum(cn) from counts)::double / cn as t from counts)
-select walker, cast(step as int) as step, vertex from vis join t on vis.vertex = t.v
-where {rng.u32_sql("'7|0|' || walker || '|' || step || '|s'")} / 4294967296.0::double < least(1.0::double, sqrt(t) + t)""")
+
+@query(f"{_subsample_sql(SAMPLE)} select walker, step, vertex from stay")
 def subsample(spark, d):
-    seen = walked(spark, d)[0]
-    return corpus.subsample(seen, materialize(walk.visit_counts(seen), "counts")).select("walker", "step", "vertex")
+    return _subsampled(spark, d, SAMPLE).select("walker", "step", "vertex")
 
 
 @query(f"{PATHS_SQL} select walker, len(path[1:10]) as words from paths where len(path) > 1")
 def sentence_cut(spark, d):
     """Sentences of at most ten."""
-    t = corpus.sentence_cut(walk.paths(walked(spark, d)[0]), 10)
+    t = corpus.sentence_cut(walk.paths(walked(spark, d)), 10)
     return t.select("walker", F.size("path").cast("long").alias("words"))
 
 
 @query(f"{PATHS_SQL} select walker, len(list_distinct(path)) as words from paths")
 def distinct_words(spark, d):
-    return corpus.distinct_words(walk.paths(walked(spark, d)[0])).select("walker", F.col("words").cast("long").alias("words"))
+    return corpus.distinct_words(walk.paths(walked(spark, d))).select("walker", F.col("words").cast("long").alias("words"))
 
 
-@query(f"{PATHS_SQL} select count(*) filter (len(path) = 0) as empty from paths")
+@query(f"{_subsample_sql(LOW_SAMPLE)} select count(*) filter (walker not in (select walker from stay)) as empty from (select distinct walker from vis)")
 def null_sentences(spark, d):
-    return corpus.null_sentences(walk.paths(walked(spark, d)[0]))
+    """Walks that lose all their tokens to subsampling."""
+    walkers = walked(spark, d).where("step = 0")
+    return corpus.null_sentences(corpus.sentences(walkers, _subsampled(spark, d, LOW_SAMPLE)))
 
 
-@query(f"""{WALK_SQL}, c as (select *, max(step) over (partition by walker) as last, 5 - {rng.u32_sql("'7|0|' || walker || '|' || step || '|b'")} % 5 as radius from vis)
-select c.walker, cast(c.step as int) as i, c.vertex as center, o.vertex as context from c join vis o on c.walker = o.walker and o.step <> c.step and abs(o.step - c.step) <= c.radius""")
+@query(f"""{PATHS_SQL}, c as (select walker, path, unnest(range(len(path))) as i from paths),
+r as (select *, 5 - {rng.u32_sql("'7|0|' || walker || '|' || i || '|b'")} % 5 as radius from c),
+n as (select walker, i, path, unnest(range(greatest(0, i - radius), least(len(path) - 1, i + radius) + 1)) as j from r)
+select walker, cast(i as int) as i, path[i + 1] as center, path[j + 1] as context from n where i <> j""")
 def context_pairs(spark, d):
-    return corpus.context_pairs(walk.paths(walked(spark, d)[0])).drop("round")
+    return corpus.context_pairs(walk.paths(walked(spark, d))).drop("round")
 
 
 @query(f"{WALK_SQL}, n as (select vertex as a, coalesce(lead(vertex) over (partition by walker order by step), vertex) as b from vis) select a, b, count(*) as n from n group by a, b")
 def cooccurrence(spark, d):
-    return corpus.cooccurrence(walked(spark, d)[0])
+    return corpus.cooccurrence(walked(spark, d))
 
 
 # -- vertex programs -------------------------------------------------------------------------------------------
@@ -578,9 +718,21 @@ def sparse(spark, d) -> DataFrame:
 reach(v, m) as (select src, src from e union select e.dst, reach.m from reach join e on e.src = reach.v where reach.m < e.dst)
 select v, min(m) as component from reach group by v""")
 def components(spark, d):
+    """Of the sparse graph of orders of one line."""
     return programs.connected_components(sparse(spark, d))
 
 
+@query(f"""with recursive {SUCCESSION_SQL}, e as (select src, dst from succ union all select dst, src from succ),
+reach(v, m) using key (v) as (
+  select src, min(least(src, dst)) from e group by src
+  union
+  select e.dst, min(r.m) from reach r join e on e.src = r.v left join recurring.reach as known on known.v = e.dst where r.m < known.m group by e.dst)
+select v, m as component from reach""")
+def components_whole(spark, d):
+    """Of the whole succession graph."""
+    return programs.connected_components(graphs.succession(spark, d))
+
+
 SSSP_SQL = f"""with recursive {SUCCESSION_SQL}, sp(v, distance) using key (v) as (
   select {ROOT}::bigint, 0.0::double
   union
@@ -632,28 +784,60 @@ def frontier(spark, d):
     """The vertices that the second level of a search activates: set, fill and test of the active set."""
     g = materialize(graphs.succession(spark, d), "succ")
     seen = materialize(programs.bfs(g, ROOT).where("level <= 1").select("v", "level"), "seen")
-    active = seen.where("level = 1").select("v")
-    return active.join(g, active["v"] == g["src"]).select(F.col("dst").alias("v")).distinct().join(seen.select("v"), "v", "left_anti")
+    return programs.next_frontier(seen.where("level = 1"), g, seen)
 
 
-# -- link prediction and vectors ---------------------------------------------------------------------------------
+@query(f"with {SUCCESSION_SQL}, deg as (select src as v, count(*) as degree from succ group by src) select range as v, coalesce(degree, 0) as degree from range(1 + (select max(v) from deg)) left join deg on range = v")
+def gather_vertex_array(spark, d):
+    """Degrees of all vertices as one array by id, on the driver."""
+    got = programs.gather(edges.out_degree(graphs.succession(spark, d)), "degree")
+    return spark.createDataFrame(list(enumerate(got.tolist())), "v long, degree long")
 
 
-@query()
-def linkpred_split(spark, d):
-    return linkpred.split(co(spark, d), 0.1)
+# -- link prediction and vectors ---------------------------------------------------------------------------------
 
 
-NEG_SQL = f"""with {IDS_SQL}, n as (select count(*) as size from ids),
-draws as (select range as id, {rng.u32_sql("'7|' || range || '|x'")} % (select size from n) as x, {rng.u32_sql("'7|' || range || '|y'")} % (select size from n) as y from range(2 * 1000 + 64)),
+def _negatives_sql(count: str) -> str:
+    """Of more draws than are needed: those beyond the last pair that counts change nothing."""
+    return f"""n as (select count(*) as size from ids),
+draws as (select range as id, {rng.u32_sql("'7|' || range || '|x'")} % (select size from n) as x, {rng.u32_sql("'7|' || range || '|y'")} % (select size from n) as y from range(16 * ({count}) + 64)),
 pairs as (select a.v as src, b.v as dst, min(draws.id) as place from draws join ids a on a.id = x join ids b on b.id = y group by all),
-free as (select *, row_number() over (order by place) as n from pairs where not exists (select 1 from und where und.src = pairs.src and und.dst = pairs.dst))
-select src, dst from free where n <= 1000"""
+free as (select src, dst, row_number() over (order by place) as n from pairs anti join und using (src, dst)),
+negative as (select src, dst from free where n <= ({count}))"""
+
+
+def _positives_sql(rounds: int = 3) -> str:
+    """Rounds of taking the edges that both ends can spare, each only if those before are not enough."""
+    out = f"""goal as (select cast(floor(0.1::double * count(*)) as bigint) as goal from co),
+left0 as (select src, dst, {rng.u32_sql("'7|' || src || '|' || dst || '|p'")} as h from co), spare0 as (select v, degree - 1 as spare from deg), won0 as (select src, dst, h from left0 where false)"""
+    for i in range(rounds):
+        out += f""",
+place{i} as (select src, dst, h, v, row_number() over (partition by v order by h, src, dst) as place from (select *, unnest([src, dst]) as v from left{i})),
+new{i} as (select src, dst, h from place{i} join spare{i} using (v) where place <= spare and (select count(*) from won{i}) < (select goal from goal) group by all having count(*) = 2),
+won{i + 1} as (select * from won{i} union all select * from new{i}), left{i + 1} as (select * from left{i} anti join new{i} using (src, dst)),
+spare{i + 1} as (select v, spare - coalesce(used, 0) as spare from spare{i} left join (select v, count(*) as used from (select unnest([src, dst]) as v from new{i}) group by v) using (v))"""
+    return out + f""",
+positive as (select src, dst from (select *, row_number() over (order by h, src, dst) as n from won{rounds}) where n <= (select goal from goal)), taken as (select count(*) as taken from positive)"""
+
+
+SPLIT_SQL = f"with {IDS_SQL}, {_positives_sql()}, {_negatives_sql('select taken from taken')}"
 
 
-@query(NEG_SQL)
+@once
+def _split(spark, d) -> DataFrame:
+    return materialize(linkpred.split(co(spark, d), 0.1), "split")
+
+
+@query(f"{SPLIT_SQL} select src, dst, 'train' as part from co anti join positive using (src, dst) union all select src, dst, 'positive' from positive union all select src, dst, 'negative' from negative")
+def linkpred_split(spark, d):
+    return _split(spark, d)
+
+
+@query(f"with {IDS_SQL}, {_negatives_sql('select count(*) from co')} select src, dst from negative")
 def negative_edges(spark, d):
-    return linkpred.negatives(materialize(co(spark, d), "co"), 1000)
+    """As many as there are edges."""
+    g = materialize(co(spark, d), "co")
+    return linkpred.negatives(g, g.count())
 
 
 @query(f"with {CO_PURCHASE_SQL} select src, dst from co except select l_partkey, l_partkey + 1 from lineitem")
@@ -662,25 +846,40 @@ def edge_difference(spark, d):
     return edges.edge_difference(co(spark, d), lines)
 
 
-def _vectors(spark, d) -> tuple[DataFrame, DataFrame]:
+@once
+def _vectors(spark, d) -> DataFrame:
     seen, vocab = ranked(spark, d)
-    return materialize(embed.train(materialize(walk.paths(seen), "paths"), vocab, epochs=2), "vectors"), vocab
+    return materialize(embed.train(materialize(walk.paths(seen), "paths"), vocab, epochs=2), "vectors")
 
 
 @query()
 def embeddings(spark, d):
-    return _vectors(spark, d)[0]
+    return _vectors(spark, d)
 
 
 @query()
+def embeddings_paired(spark, d):
+    """Two walks trained in step, four synchronizations of sampled rows a pass."""
+    seen, vocab = ranked(spark, d)
+    return embed.train(walk.paths(seen), vocab, epochs=2, sync="hotness", syncs=4, pair_windows=True)
+
+
+def _given_vectors(spark, d) -> DataFrame:
+    """The table of vectors, ranked by id."""
+    return graphs.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("vec_id").alias("rank"), F.col("embedding").alias("vec"))
+
+
+@query("""with p as (select a.vec_id as v, b.vec_id as other, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as c from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+n as (select *, row_number() over (partition by v order by c desc, other) as n from p) select v, other, round(c, 6) as cosine from n where n <= 5""")
 def nearest_neighbours(spark, d):
-    return embed.nearest(_vectors(spark, d)[0])
+    """Five for each of the given vectors."""
+    return embed.nearest(_given_vectors(spark, d)).withColumn("cosine", F.round("cosine", 6))
 
 
 @query()
 def linkpred_auc(spark, d):
     """Cosines of the walk vectors of edges against as many non-edges."""
-    vectors = _vectors(spark, d)[0]
+    vectors = _vectors(spark, d)
     g, _ = dense(spark, d)
     bad = linkpred.negatives(g, g.count())
     pairs = g.select("src", "dst").withColumn("label", F.lit(1)).unionByName(bad.withColumn("label", F.lit(0)))
@@ -716,6 +915,14 @@ def edge_text(spark, d):
     return files.read_edge_text(spark, folder, "float").select("src", "dst", F.col("w").cast("double").alias("w"))
 
 
+@query(f"with {CO_PURCHASE_SQL} select src, dst from co")
+def edge_text_plain(spark, d):
+    """Without weights."""
+    folder = shared_dir(spark, "text")
+    files.write_edge_text(co(spark, d), folder)
+    return files.read_edge_text(spark, folder)
+
+
 @query(f'{RANGES_SQL} select p, start as "begin", stop as "end" from parts where p >= 0')
 def partition_file(spark, d):
     folder = shared_dir(spark, "ranges")
@@ -723,24 +930,39 @@ def partition_file(spark, d):
     return files.read_ranges(spark, folder, PARTS)
 
 
-@query()
+@query(f"{SPLIT_SQL} select src, dst, 1 as label from positive union all select src, dst, 0 from negative")
 def train_test_files(spark, d):
     folder = shared_dir(spark, "split")
-    files.write_split(linkpred.split(co(spark, d), 0.1), folder)
+    files.write_split(_split(spark, d), folder)
     return files.read_test(spark, folder)
 
 
-@query()
+VECTORS_SQL = "select vec_id as v, cast(i as int) as i, cast(embedding[i + 1] as double) as x from (select vec_id, embedding, unnest(range(len(embedding))) as i from embeddings)"
+
+
+def _cells(vectors: DataFrame) -> DataFrame:
+    return vectors.select("v", F.posexplode("vec").alias("i", "x")).withColumn("x", F.col("x").cast("double"))
+
+
+@query(VECTORS_SQL)
 def vector_file(spark, d):
+    """The given vectors as text and back, without loss."""
+    folder = shared_dir(spark, "vectors")
+    files.write_vectors(_given_vectors(spark, d), folder)
+    return _cells(files.read_vectors(spark, folder))
+
+
+@query(VECTORS_SQL)
+def vector_file_binary(spark, d):
     folder = shared_dir(spark, "vectors")
-    files.write_vectors(_vectors(spark, d)[0], folder)
-    return files.read_vectors(spark, folder)
+    files.write_binary_vectors(_given_vectors(spark, d), folder)
+    return _cells(files.read_binary_vectors(spark, folder))
 
 
 @query(f"{PATHS_SQL} select array_to_string(path, ' ') as path from paths")
 def path_file(spark, d):
     folder = shared_dir(spark, "paths")
-    files.write_paths(walk.paths(walked(spark, d)[0]), folder)
+    files.write_paths(walk.paths(walked(spark, d)), folder)
     return files.read_paths(spark, folder).select(F.concat_ws(" ", F.transform("path", lambda x: x.cast("string"))).alias("path"))
 
 
@@ -780,7 +1002,7 @@ def streaming_degrees(spark, d):
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visits of every vertex by the entropy walk."""
-    return walk.visit_counts(walked(spark, sf_dir)[0])
+    return walk.visit_counts(walked(spark, sf_dir))
 
 
 # -- storage forms -----------------------------------------------------------------------------------------------
@@ -790,11 +1012,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 select v, cast(sum(degree) over (order by v) - degree as bigint) as "begin", cast(sum(degree) over (order by v) as bigint) as "end" from d""")
 def build_csr(spark, d):
     """Where each vertex's neighbours begin and end in one array of all, by vertex."""
-    from ..functions.session import running_sum
-
-    g, _ = dense(spark, d)
-    rows = running_sum(edges.out_degree(edges.to_undirected(g)), "degree", "v")
-    return rows.select("v", (F.col("upto") - F.col("degree")).alias("begin"), F.col("upto").alias("end"))
+    return edges.csr(edges.to_undirected(dense(spark, d)[0]))
 
 
 @query(f"with {UNDIRECTED_SQL} select src, dst from und")
@@ -803,40 +1021,48 @@ def shuffle_edges(spark, d):
     return und(spark, d).repartitionByRange("src").sortWithinPartitions("src", "dst")
 
 
-@query(f"""{RANGES_SQL}, back as (select v, row_number() over (order by {PARTS - 1} - part, v) - 1 as id from owned)
-select a.id as src, b.id as dst from co join ids x on co.src = x.v join ids y on co.dst = y.v join back a on a.v = x.id join back b on b.v = y.id""")
+@query(f"""with recursive {IDS_SQL}, {_RANGES}, {_positives_sql()}, {_negatives_sql('select taken from taken')},
+back as (select ids.v, {PARTS - 1} - part as part, row_number() over (order by {PARTS - 1} - part, owned.v) - 1 as id from owned join ids on owned.v = ids.id),
+given as (select 'edge' as kind, src, dst, null::bigint as label from co union all select 'test', src, dst, 1 from positive union all select 'test', src, dst, 0 from negative)
+select kind, a.id as a, b.id as b, label from given join back a on a.v = src join back b on b.v = dst
+union all select 'range', min(id), max(id) + 1, part from back group by part""")
 def relabelled_files(spark, d):
-    """Edges under the ids of a partition, the partition's ranges and sizes beside them, as files."""
-    g, ranges, o = owned(spark, d)
-    folder = shared_dir(spark, "relabelled")
-    ids = materialize(partition.relabel_by_partition(o.withColumn("part", PARTS - 1 - F.col("part"))), "ids")
-    files.write_edge_text(edges.relabel(g, ids), f"{folder}/edges")
-    files.write_ranges(ranges, f"{folder}/ranges")
-    return files.read_edge_text(spark, f"{folder}/edges")
-
-
-@query()
+    """Edges and test edges under the ids of a partition (its parts reversed), and the ranges of these ids, as files that are read back."""
+    o, folder = owned(spark, d)[2], shared_dir(spark, "relabelled")
+    ids = dense(spark, d)[1]
+    named = o.withColumnRenamed("v", "id").join(ids, "id").select("v", (PARTS - 1 - F.col("part")).alias("part"))
+    test = _split(spark, d).where("part <> 'train'").withColumn("label", F.when(F.col("part") == "positive", 1).otherwise(0))
+    files.write_relabelled(co(spark, d), test, named, folder)
+    none = F.lit(None).cast("long")
+    read = lambda kind, t, label: t.select(F.lit(kind).alias("kind"), t[t.columns[0]].alias("a"), t[t.columns[1]].alias("b"), label.alias("label"))
+    ranges = files.read_ranges(spark, f"{folder}/ranges", PARTS)
+    out = read("edge", files.read_edge_text(spark, f"{folder}/edges"), none).unionByName(read("test", files.read_edge_text(spark, f"{folder}/test", "long"), F.col("w")))
+    return out.unionByName(read("range", ranges.select("begin", "end", F.col("p").cast("long").alias("p")), F.col("p")))
+
+
+@query(f"""{VOCAB_SQL}, lcg(i, x) as (select 0::bigint, cast((25214903917 + 11) & 65535 as bigint) union all select i + 1, (x * 25214903917 + 11) & 65535 from lcg where i + 1 < least(65536, 8 * (select count(*) from counts))),
+cells as (select v, rank, unnest(range(8)) as i from vocab)
+select v, rank, cast(cells.i as int) as i, round(cast(cast((x / 65536.0::double - 0.5::double) / 8 as float) as double), 9) + 0.0 as x from cells join lcg on (rank * 8 + cells.i) % 65536 = lcg.i""")
 def init_matrices(spark, d):
     """Starting vectors of every vertex by rank."""
-    _, vocab = ranked(spark, d)
+    vocab = ranked(spark, d)[1]
     wih, _ = embed.init_matrices(vocab.count(), 8)
     first = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(wih)], "rank long, vec array<float>")
-    return vocab.select("v", "rank").join(first, "rank")
+    cells = vocab.select("v", "rank").join(first, "rank").select("v", "rank", F.posexplode("vec").alias("i", "x"))
+    return cells.withColumn("x", F.round(F.col("x").cast("double"), 9) + 0.0)
 
 
-@query()
-def negative_sample(spark, d):
-    """How often each rank is drawn as a negative, of 100,000 draws in ten tasks."""
-    import numpy as np
-    import pandas as pd
-
-    _, vocab = ranked(spark, d)
-    cdf = np.array([r["cdf"] for r in corpus.unigram_cdf(vocab).orderBy("rank").collect()])
+#: Draws of negatives a vertex.
+DRAWS = 50
 
-    def draws(batches):
-        for pdf in batches:
-            for seed in pdf["id"]:
-                got, n = np.unique(embed.negative_sample(cdf, 10_000, np.random.default_rng(seed)), return_counts=True)
-                yield pd.DataFrame({"rank": got, "n": n})
 
-    return spark.range(10).mapInPandas(draws, "rank long, n long").groupBy("rank").agg(F.sum("n").alias("n"))
+@query(f"""{VOCAB_SQL}, n as (select count(*) as n from counts), cdf as (select rank, sum(pow(cn::double, 0.75)) over (order by rank) / sum(pow(cn::double, 0.75)) over () as cdf from vocab),
+negs as (select range as id, {rng.u32_sql("'7|' || range || '|neg'")} / 4294967296.0::double as x from range({DRAWS} * (select n from n))),
+met as (select id, rank from negs asof join cdf on negs.x <= cdf.cdf),
+drawn as (select case when rank = 0 and n > 1 then 1 + {rng.u32_sql("'7|' || id || '|zero'")} % (n - 1) else rank end as rank from met, n)
+select cast(rank as bigint) as rank, count(*) as n from drawn group by all""")
+def negative_sample(spark, d):
+    """How often each rank is drawn as a negative."""
+    vocab = ranked(spark, d)[1]
+    cdf = materialize(corpus.unigram_cdf(vocab), "cdf")
+    return corpus.negative_draws(cdf, DRAWS * vocab.count()).groupBy("rank").agg(F.count("*").alias("n"))

@@ -85,7 +85,9 @@ def test_stream_and_greedy(spark, t1):
     assert got[2] == 0 and set(got) == set(range(5))
     und = edges.to_undirected(t1).withColumn("w", F.lit(1.0))
     assert pairs(partition.greedy_partition(und, 2)) == got
-    batched = partition.greedy_batches(und, partition.stream_vertices(und), 2, 2)
+    stream = partition.level_stream(und)
+    assert [r["v"] for r in stream.orderBy("at").collect()] == [2, 0, 1, 3, 4]
+    batched = partition.greedy_batches(und, stream, 2, 2)
     assert set(pairs(batched)) == set(range(5))
     with pytest.raises(ValueError):
         partition.greedy_partition(und, 2, most_edges=3)
@@ -149,7 +151,12 @@ def test_walk_equals_python_and_both_ways_agree(spark, bound):
     for r in walk.paths(walk.entropy_walk(walkers, chances, bound=bound)).collect():
         got[r["walker"]] = list(r["path"])
     for w in range(30):
-        assert got[w] == python_walk(adj, w, (7, 0, w), 20, bound, walk.MAX_DRAWS)
+        assert got[w] == python_walk(adj, w, (7, 0, w), 20, bound, 10_000)
+    few = walk.entropy_walk(walkers, chances, bound=bound, max_draws=30).collect()
+    for w in range(30):
+        own = sorted((r["step"], r["vertex"], r["capped"]) for r in few if r["walker"] == w)
+        assert [v for _, v, _ in own] == python_walk(adj, w, (7, 0, w), 20, bound, 30)
+        assert {c for _, _, c in own} == {len(own) < len(got[w])}
 
 
 def test_isolated_self_loop_stays(spark):
