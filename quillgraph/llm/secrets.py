@@ -4,8 +4,9 @@ Candidates are private key blocks, values assigned to a name (``name = "value"``
 value (``url=https://host/?token=value``), and long runs of key-like characters. All are scored, nested ones too;
 of those accepted, one inside others is left to them. A candidate's features are its length and character classes, its transitions between
 classes and between letters, the share that dictionary words cover, the path it comes from, and the
-words around it. The forest is trained on labelled findings: (context, start, length, path, label) rows
-given by the caller, or by default the bounded set that ``labelled_findings`` builds from templates
+words around it. The dictionary is the whole words of a public tokenizer's vocabulary file, about 29,000. The forest is trained on labelled
+findings: (text, start, length, path, label) rows from a table of the caller's (``read_findings``, at most ``MOST_FINDINGS``), or by default
+the bounded set that ``labelled_findings`` builds from templates
 with a fixed seed (the tables hold no labelled findings). Every document is scanned whole.
 
 Nulls: a null text has no findings; a null path gives no path features. A document without candidates has no
@@ -15,6 +16,7 @@ rows; repeated documents have findings each. No rows: no rows. Extra columns are
 from __future__ import annotations
 
 import functools
+import json
 import math
 import random
 import re
@@ -25,18 +27,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pylist, rows_of, table, text_rows
+from .common import pylist, rows_of, small_batches, table, text_rows
 from .trees import Forest
 
 #: Labelled findings that are built by default, and the forest's cutoff.
 FINDINGS, CUTOFF = 6000, 0.5
+#: Most labelled findings that are read from a table.
+MOST_FINDINGS = 100_000
 AROUND = 60
 MASK = "[SECRET]"
 
 _RUN = re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/\-]{14,}={0,2}")
 _ASSIGNED = re.compile(r"[=:][ \t]{0,4}[\"'`]?([^\s\"'`,;<>()]{6,})")
 _INNER = re.compile(r"[A-Za-z_][\w.\-]{1,40}[=:](?!//)")
-_NAME = re.compile(r"([A-Za-z_][\w.\-]{1,40})[\"'`]?[ \t]{0,4}$")
+_NAME = re.compile(r"([A-Za-z_][\w.\-]{1,40})[\"'`]?[ \t]{0,4}\Z")
 _BLOCK = re.compile(r"-----(BEGIN|END) [A-Z ]{0,20}PRIVATE KEY-----")
 _WORDS = re.compile(r"[A-Za-z]+")
 #: Beginnings of issued keys, names of secrets, and words beside strings that are none; fixed values.
@@ -44,20 +48,31 @@ PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_", "glpat-", "sk
 SECRET_NAMES = frozenset("token secret password passwd pwd apikey api key credential credentials auth authorization bearer private access client".split())
 PLAIN_NAMES = frozenset("commit sha md5 checksum hash digest uuid guid example sample test dummy placeholder version revision id isbn url http https href src path file integrity etag build trace span your here changeme".split())
 PATHS = re.compile(r"(?i)test|example|sample|doc|fixture|mock|spec|demo")
-#: The commonest English words, for coverage and letter transitions; fixed values.
+#: Common words that the templates put around findings; fixed values.
 WORDS = (
     "the and that have for not with you this but his from they say her she will one all would there their what out about who get which when make can like time just him know take people into year your good some could them see other than then now look only come its over think also back after use two how our work first well way even new want because any these give day most are was has been more were does had did may name value test user data file code type list item text line page link image index table field query number string object class method model state event error message server client request response header cookie session account address country company system service process version config default option update delete create insert select search filter order group result"
 ).split()
 
 
-@functools.cache
-def _dictionary() -> tuple[frozenset, np.ndarray]:
-    """The words of three letters and more, and the log-probabilities of a letter after a letter in them."""
+def default_vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@functools.lru_cache(maxsize=2)
+def dictionary(vocabulary: str) -> tuple[frozenset, np.ndarray]:
+    """The plain words of four to ten letters that end a word in a tokenizer's vocabulary file, and the log-probabilities of a letter
+    after a letter in them."""
+    with open(vocabulary) as f:
+        entries = json.load(f)["model"]["vocab"]
+    words = [x[: -len("</w>")] for x in entries if x.endswith("</w>")]
+    words = frozenset(w for w in words if 4 <= len(w) <= 10 and w.isascii() and w.isalpha() and w.islower())
     counts = np.ones((26, 26))
-    for w in WORDS:
+    for w in words:
         for a, b in zip(w, w[1:]):
             counts[ord(a) - 97, ord(b) - 97] += 1
-    return frozenset(w for w in WORDS if len(w) > 2), np.log2(counts / counts.sum(axis=1, keepdims=True))
+    return words, np.log2(counts / counts.sum(axis=1, keepdims=True))
 
 
 def _inside(text: str, start: int, end: int):
@@ -106,9 +121,9 @@ def _kind(c: str) -> int:
 FEATURES = 22
 
 
-def features(text: str, start: int, length: int, kind: str, path: str | None) -> list[float]:
+def features(text: str, start: int, length: int, kind: str, path: str | None, vocabulary: str) -> list[float]:
     value = text[start : start + length]
-    words, letters = _dictionary()
+    words, letters = dictionary(vocabulary)
     kinds = [_kind(c) for c in value]
     share = [kinds.count(k) / length for k in range(4)]
     counts = Counter(value)
@@ -117,7 +132,7 @@ def features(text: str, start: int, length: int, kind: str, path: str | None) ->
     moves = [letters[ord(a) - 97, ord(b) - 97] for a, b in zip(low, low[1:]) if "a" <= a <= "z" and "a" <= b <= "z"]
     covered, i = 0, 0
     while i < length:
-        k = next((k for k in range(min(10, length - i), 2, -1) if low[i : i + k] in words), 0)
+        k = next((k for k in range(min(10, length - i), 3, -1) if low[i : i + k] in words), 0)
         covered += k
         i += k or 1
     before, after = text[max(0, start - AROUND) : start], text[start + length : start + length + AROUND]
@@ -175,24 +190,32 @@ def labelled_findings(count: int = FINDINGS, seed: int = 11) -> list[tuple[str,
     return out
 
 
+def read_findings(found: DataFrame, most: int = MOST_FINDINGS) -> list[tuple[str, int, int, str, int]]:
+    """Labelled findings from a table (text, start, length, path, label); more than ``most`` are an error."""
+    rows = found.select("text", "start", "length", "path", "label").limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} labelled findings")
+    return [tuple(r) for r in rows if r["text"] is not None and r["label"] is not None]
+
+
 @functools.cache
-def default_forest() -> Forest:
-    return train(labelled_findings())
+def default_forest(vocabulary: str) -> Forest:
+    return train(labelled_findings(), vocabulary)
 
 
-def train(findings: list[tuple[str, int, int, str, int]]) -> Forest:
+def train(findings: list[tuple[str, int, int, str, int]], vocabulary: str) -> Forest:
     rows, labels = [], []
     for text, start, length, path, label in findings:
         kind = next((k for a, n, k in candidates(text) if a <= start < a + n), "run")
-        rows.append(features(text, start, length, kind, path))
+        rows.append(features(text, start, length, kind, path, vocabulary))
         labels.append(float(label))
     return Forest(np.array(rows, float), np.array(labels))
 
 
-def scan_texts(texts: list[str], paths: list[str | None], forest: Forest) -> list[list[tuple[int, int, str, float]]]:
+def scan_texts(texts: list[str], paths: list[str | None], forest: Forest, vocabulary: str) -> list[list[tuple[int, int, str, float]]]:
     """(start, length, kind, score) of every candidate of each text."""
     found = [candidates(t) for t in texts]
-    x = [features(t, *c, path) for t, path, cs in zip(texts, paths, found) for c in cs]
+    x = [features(t, *c, path, vocabulary) for t, path, cs in zip(texts, paths, found) for c in cs]
     scores = iter(forest.predict(np.array(x, float)).tolist() if x else ())
     return [[(*c, next(scores)) for c in cs] for cs in found]
 
@@ -207,36 +230,36 @@ def accepted(spans: list[tuple[int, int, str, float]], cutoff: float) -> list[bo
     return out
 
 
-def scan(docs: DataFrame, path_column: str = "source", forest: Forest | None = None, cutoff: float = CUTOFF) -> DataFrame:
+def scan(docs: DataFrame, path_column: str = "source", forest: Forest | None = None, cutoff: float = CUTOFF, vocabulary: str | None = None) -> DataFrame:
     """documents(doc_id, text, path) -> doc_id, start, length (characters), kind, score, accepted: a row a candidate."""
-    forest = forest or default_forest()
+    vocabulary = vocabulary or default_vocabulary()
+    forest = forest or default_forest(vocabulary)
 
     def look(batches):
         for batch in batches:
             for part in rows_of(batch, 8 << 20):
-                found = scan_texts(pylist(part, "text"), pylist(part, "path"), forest)
+                found = scan_texts(pylist(part, "text"), pylist(part, "path"), forest, vocabulary)
                 rows = [(d, *f, ok) for d, fs in zip(pylist(part, "doc_id"), found) for f, ok in zip(fs, accepted(fs, cutoff))]
                 if rows:
                     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.float64(), pa.bool_())
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["doc_id", "start", "length", "kind", "score", "accepted"])
 
-    rows = text_rows(docs.withColumn("path", F.col(path_column).cast("string")), "doc_id", "text", "path")
+    rows = text_rows(docs.select("doc_id", "text", F.col(path_column).cast("string").alias("path")), "doc_id", "text", "path")
     return rows.mapInArrow(look, "doc_id long, start long, length long, kind string, score double, accepted boolean")
 
 
-def redact(docs: DataFrame, path_column: str = "source", forest: Forest | None = None, cutoff: float = CUTOFF) -> DataFrame:
+def redact(docs: DataFrame, path_column: str = "source", forest: Forest | None = None, cutoff: float = CUTOFF, vocabulary: str | None = None) -> DataFrame:
     """The same columns, accepted secrets replaced by MASK in text (n_chars, if there, counts the new text)."""
-    from .common import small_batches
-
     small_batches(docs.sparkSession)
-    forest = forest or default_forest()
+    vocabulary = vocabulary or default_vocabulary()
+    forest = forest or default_forest(vocabulary)
 
     def clean(batches):
         for batch in batches:
             for part in rows_of(batch, 8 << 20):
                 at = part.schema.get_field_index("text")
                 texts = pylist(part, "text")
-                found = scan_texts([t or "" for t in texts], [None if p is None else str(p) for p in pylist(part, path_column)], forest)
+                found = scan_texts([t or "" for t in texts], [None if p is None else str(p) for p in pylist(part, path_column)], forest, vocabulary)
                 changed = {}
                 for i, spans in enumerate(found):
                     spans = [s for s, ok in zip(spans, accepted(spans, cutoff)) if ok]
