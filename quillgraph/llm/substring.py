@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, table, text_rows, whole_file
+from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, shuffle_partitions, table, text_rows, whole_file
 
 WIDTH, GRAM, SHARD = 20, 6, 2000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -227,7 +227,7 @@ def _beside_texts(folder: str, rows: DataFrame, work, schema: str, columns: tupl
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
-    dealt = rows.select("p", "row", *columns).repartition("p").sortWithinPartitions("p", "row", *columns)
+    dealt = rows.select("p", "row", *columns).repartition(shuffle_partitions(rows.sparkSession), "p").sortWithinPartitions("p", "row", *columns)
     return dealt.mapInArrow(meet, schema)
 
 
@@ -293,7 +293,7 @@ def removed_windows(docs: DataFrame, folder: str, width: int = WIDTH, gram: int
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["anchor", "content", "a", "b"])
 
     runs_schema = "anchor long, content long, a long, b long"
-    runs = filled.where(F.col("shard") <= shard).repartition("anchor").sortWithinPartitions("anchor", "doc", "lo").mapInArrow(match, runs_schema)
+    runs = filled.where(F.col("shard") <= shard).repartition(shuffle_partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor", "doc", "lo").mapInArrow(match, runs_schema)
 
     def windows(batches):
         for batch in batches:
@@ -340,3 +340,16 @@ def remove(docs: DataFrame, folder: str, width: int = WIDTH, gram: int = GRAM, s
 def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove(table(spark, sf_dir, "documents"), shared_dir(spark, "substring"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Windows as texts; one is repeated if it is not the first of its text in order of doc_id and place.
+OP5_SQL = r"""
+with docs as (select doc_id, row_number() over (order by doc_id nulls first, rowid) as d, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words
+  from (select doc_id, text, row_number() over () as rowid from documents)),
+words as (select d, unnest(words) as word, generate_subscripts(words, 1) as i from docs),
+windows as (select d, i, string_agg(word, ' ') over w as body, count(*) over w as n from words window w as (partition by d order by i rows between current row and 19 following)),
+later as (select d, i from (select d, i, row_number() over (partition by body order by d, i) as k from windows where n = 20) where k > 1),
+gone as (select distinct d, i + k as i from later, range(20) r(k)),
+left_ as (select d, string_agg(word, ' ' order by i) as kept, count(*) as n from words anti join gone using (d, i) group by d)
+select doc_id, len(words) as n_words, len(words) - coalesce(n, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from docs left join left_ using (d)
+"""
