@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, table, text_rows, whole_file
+from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, shuffle_partitions, table, text_rows, whole_file
 
 UNIT = 64
 LEAST, MOST, MASK = 2 << 10, 64 << 10, np.uint32(((1 << 13) - 1) << 19)
@@ -179,7 +179,7 @@ def restore(recipes: DataFrame, places: DataFrame, folder: str) -> DataFrame:
     Media are dealt by the task that wrote them, so most of a task's chunks lie in one pack.
     """
     found = recipes.join(places, ["digest", "salt"], "left")
-    dealt = found.repartition("src").sortWithinPartitions("src", "row", "seq")
+    dealt = found.repartition(shuffle_partitions(recipes.sparkSession), "src").sortWithinPartitions("src", "row", "seq")
 
     def read(batches):
         import zstandard
@@ -242,3 +242,26 @@ def op9_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_dir(spark, "media")
     recipes, places = store(table(spark, sf_dir, "documents"), folder)
     return describe(restore(recipes, places, folder))
+
+
+#: The payload's bytes as rows; the checksum by its table of 256 remainders.
+OP9_SQL = r"""
+with recursive bits(b, k, c) as (
+  select range, 0, range::bigint from range(256)
+  union all
+  select b, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end from bits where k < 8),
+remainders as (select list(c order by b) as t from bits where k = 8),
+docs as (select row_number() over () as d, doc_id, encode(coalesce(text, '')) as raw from documents),
+padded as (select d, doc_id, octet_length(raw) as n, raw || unhex(repeat('00', cast(case when octet_length(raw) = 0 then 64 else (64 - octet_length(raw) % 64) % 64 end as int))) as payload from docs),
+cells as (select d, cast(('0x' || unnest(regexp_extract_all(hex(payload), '..'))) as bigint) as b, unnest(range(octet_length(payload))) as i from padded),
+steps as (select d, b, i, (lag(b) over (partition by d order by i) >= 128) <> (b >= 128) as crossed from cells),
+sums as (select d, sum(b) as s, sum(b * b) as q, count(*) filter (crossed) as z, count(*) as n from steps group by d),
+tails as (select d, list(b order by i) as tail from (select d, b, i, count(*) over (partition by d) as n from cells) where i >= n - 64 group by d),
+checks as (select d, xor(list_reduce(tail, lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]), 4294967295::bigint), 4294967295::bigint) as crc from tails, remainders),
+media as (select *, octet_length(payload) as m, unhex('52494646' || le(36 + octet_length(payload)) || '57415645666D74201000000001000100401F0000401F00000100080064617461' || le(octet_length(payload))) || payload as wav from padded)
+select doc_id, n as n_bytes, m as payload_bytes, sha256(payload) as payload_sha256, crc as tail_crc32, m + 44 as media_bytes, sha256(wav) as media_sha256,
+  printf('mean=%.4f;power=%.3f;crossings=%d', s / m, q / m, z) as feature
+from media join (select d, s, q, z from sums) using (d) join checks using (d)
+"""
+for _size in ("36 + octet_length(payload)", "octet_length(payload)"):  # four bytes, the least first
+    OP9_SQL = OP9_SQL.replace(f"le({_size})", " || ".join(f"printf('%02X', (({_size}) >> {k}) & 255)" for k in (0, 8, 16, 24)))

@@ -17,5 +17,7 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op3_warc": warc.OP3_SQL,
+    "op5_substring": substring.OP5_SQL,
     "op8_mix": mixing.OP8_SQL,
+    "op9_media": media.OP9_SQL,
 }
