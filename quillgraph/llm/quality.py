@@ -5,8 +5,9 @@ Its counts are Spark aggregates over every byte of every document: tasks add up
 Spark sums them, takes continuation counts, discounts (from the counts of counts one to four), back-off
 weights and interpolated probabilities order by order, and stores the model as arrays sorted by the n-gram itself
 (its bytes as a number: 32 bits up to order three, 64 above), in the shared folder. No n-gram is lost or taken for
-another, so a language's model grows with its distinct n-grams; a worker loads a language's arrays when it meets its
-first document.
+another, so a language's model grows with its distinct n-grams. An array is one or more flat files, a range of n-grams each; where the
+shared folder is a mounted file system they are memory-mapped, so that a machine's workers share the pages that they look at, else a worker
+reads a language's arrays when it meets its first document.
 
 Bands: the logarithm of a document's bits per word (the binary logarithm of its perplexity) must lie within ``FENCE``
 interquartile ranges of the quartiles of its language and length class (the power of two below n_words); a class of fewer than
@@ -22,6 +23,7 @@ its own. Repeated rows are judged alike, each counted. No rows: no rows. Extra c
 from __future__ import annotations
 
 import functools
+import itertools
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, materialize, pylist, rows_of, shared_dir, small_batches, table, text_rows
+from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, small_batches, table, text_rows, whole_file
 
 ORDER = 5
 FENCE, CLASS_ROWS, BIN = 3.0, 100, 0.001
@@ -119,7 +121,9 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 def build_model(docs: DataFrame, folder: str) -> None:
-    """Writes folder/kind=p|g/order=n: lang, key, value (log2 of probabilities and of back-off weights)."""
+    """Writes the arrays of keys and values (log2 of probabilities, kind p, and of back-off weights, kind g) and, for each order and kind,
+    a table of its files: lang, file, rows, first key."""
+    make_dir(folder)
     level = materialize(count_grams(docs).withColumn("lang", F.coalesce("lang", F.lit(""))), "grams")
     levels = {ORDER: level}
     for n in range(ORDER - 1, 0, -1):
@@ -145,48 +149,105 @@ def build_model(docs: DataFrame, folder: str) -> None:
         lower = probs.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
         for kind, t, size, value in (("p", probs.withColumnRenamed("gram", "key"), n, "p"), ("g", contexts.withColumnRenamed("context", "key"), n - 1, "weight")):
             t = t.select("lang", F.col("key").cast(key_type(size)[0]).alias("key"), F.log2(value).cast("float").alias("value"))
-            t.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key").write.parquet(f"{folder}/kind={kind}/order={n}")
+            t = t.repartitionByRange("lang", "key").sortWithinPartitions("lang", "key")
+            t.mapInArrow(_store(f"{folder}/{kind}{n}"), FILES).write.parquet(f"{folder}/{kind}{n}.files")
+
+
+FILES = "lang string, file string, rows long, first long"
+
+
+def _store(name: str):
+    """A task's sorted rows(lang, key, value) as flat files, two a language."""
+
+    def runs(batches):
+        for batch in batches:
+            langs = batch.column(0).dictionary_encode()
+            codes = langs.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(codes)]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    yield langs.dictionary[int(codes[a])].as_py(), batch.column(1).to_numpy()[a:b], batch.column(2).to_numpy()[a:b]
+
+    def store(batches):
+        from pyspark import TaskContext
+
+        for i, (lang, own) in enumerate(itertools.groupby(runs(batches), key=lambda r: r[0])):
+            file, rows, first = f"{name}-{TaskContext.get().partitionId():06d}-{i}", 0, None
+            with whole_file(f"{file}.key") as keys, whole_file(f"{file}.value") as values:
+                for _, key, value in own:
+                    keys.write(key.tobytes())
+                    values.write(value.tobytes())
+                    first = int(key[0]) if first is None else first
+                    rows += len(key)
+            yield pa.RecordBatch.from_pydict({"lang": [lang], "file": [file], "rows": pa.array([rows], pa.int64()), "first": pa.array([first], pa.int64())})
+
+    return store
+
+
+def _flat(uri: str, kind: type) -> np.ndarray:
+    fs, path = filesystem(uri)
+    if fs.type_name == "local":
+        return np.memmap(path, kind, "r")
+    with fs.open_input_file(path) as f:
+        return np.frombuffer(f.read(), kind)
+
+
+class Sorted:
+    """Sorted keys and their values, in one or more ranges."""
+
+    def __init__(self, files: list[tuple], kind: type):
+        files = sorted(files, key=lambda f: f[2])
+        self.first = np.array([f[2] for f in files], np.int64)
+        self.ranges = [(_flat(f"{file}.key", kind), _flat(f"{file}.value", np.float32)) for file, _, _ in files]
+        self.kind = kind
+
+    def __len__(self) -> int:
+        return sum(len(keys) for keys, _ in self.ranges)
+
+    def find(self, key: np.ndarray) -> tuple[np.ndarray, float]:
+        """Which of the keys are there, and the sum of their values."""
+        key = key.astype(self.kind)
+        hit, total = np.zeros(len(key), bool), 0.0
+        own = np.searchsorted(self.first, key, "right") - 1 if len(self.ranges) > 1 else None
+        for i, (keys, values) in enumerate(self.ranges):
+            here = slice(None) if own is None else np.flatnonzero(own == i)
+            some = key[here]
+            if len(some):
+                at = np.minimum(np.searchsorted(keys, some), len(keys) - 1)
+                found = keys[at] == some
+                hit[here] = found
+                total += float(values[at[found]].sum(dtype=np.float64))
+        return hit, total
 
 
 @functools.lru_cache(maxsize=6)
-def _arrays(folder: str, lang: str) -> list[tuple[np.ndarray, ...]]:
-    """A language's sorted keys and values, of each order (from one) probabilities and back-off weights."""
+def _arrays(folder: str, lang: str) -> list[tuple[Sorted, Sorted]]:
+    """A language's probabilities and back-off weights of each order (from one)."""
     import pyarrow.dataset as ds
 
-    out = []
-    for n in range(1, ORDER + 1):
-        own = []
-        for kind in "pg":
-            fs, path = filesystem(f"{folder}/kind={kind}/order={n}")
-            t = ds.dataset(path, filesystem=fs, format="parquet").to_table(columns=["key", "value"], filter=ds.field("lang") == lang)
-            keys, values = t.column("key").to_numpy(), t.column("value").to_numpy()
-            if len(keys) and (keys[1:] < keys[:-1]).any():  # files are read in their order, which is the keys'
-                order = np.argsort(keys, kind="stable")
-                keys, values = keys[order], values[order]
-            own += [keys, values]
-        out.append(tuple(own))
-    return out
+    def read(name: str, size: int) -> Sorted:
+        fs, path = filesystem(f"{folder}/{name}.files")
+        files = ds.dataset(path, filesystem=fs, format="parquet").to_table(filter=ds.field("lang") == lang)
+        return Sorted(list(zip(*(files.column(c).to_pylist() for c in ("file", "rows", "first")))), key_type(size)[1])
+
+    return [(read(f"p{n}", n), read(f"g{n}", n - 1)) for n in range(1, ORDER + 1)]
 
 
-def bits(raw: bytes, model: list[tuple[np.ndarray, ...]]) -> float:
+def bits(raw: bytes, model: list[tuple[Sorted, Sorted]]) -> float:
     """Bits of a whole text under the model."""
     total, step = 0.0, 1 << 20
     every = grams(raw)
     for i in range(0, len(every), step):
         left = every[i : i + step]
         for n in range(ORDER, 0, -1):
-            keys, values, contexts, weights = model[n - 1]
+            probs, weights = model[n - 1]
             gram = left & np.uint64((1 << 8 * n) - 1)
-            key = gram.astype(key_type(n)[1])
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            total -= float(values[at[hit]].sum(dtype=np.float64))
+            hit, some = probs.find(gram)
+            total -= some
             left, gram = left[~hit], gram[~hit]
             if not len(left):
                 break
-            key = (gram >> np.uint64(8)).astype(key_type(n - 1)[1])
-            at = np.minimum(np.searchsorted(contexts, key), len(contexts) - 1)
-            total -= float(weights[at[contexts[at] == key]].sum(dtype=np.float64))
+            total -= weights.find(gram >> np.uint64(8))[1]
         total += 8.0 * len(left)
     return total
 
