@@ -259,6 +259,12 @@ def test_model_keeps_every_gram(spark):
     folder = shared_dir(spark, "model")
     quality.build_model(spark.createDataFrame([(t, "en") for t in texts], "text string, lang string"), folder)
     model = quality._arrays(folder, "en")
+    (keys, _), = model[4][0].ranges
+    halves = quality.Sorted([], np.int64)  # the same in two ranges
+    halves.first, halves.ranges = np.array([keys[0], keys[7]]), [(a[:7], b[:7]) for a, b in model[4][0].ranges] + [(a[7:], b[7:]) for a, b in model[4][0].ranges]
+    ask = np.concatenate([keys[::3], keys[5:9] + 1, [0, 1 << 39]]).astype(np.uint64)
+    for got, want in zip(halves.find(ask), model[4][0].find(ask)):
+        assert np.allclose(got, want)
     every = {x for t in texts for x in quality.grams(t.encode()).tolist()}
     assert len(model[4][0]) == len(every)
     chance = plain_model([t.encode() for t in texts])
