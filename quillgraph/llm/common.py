@@ -14,7 +14,7 @@ from ..functions.files import filesystem, make_dir, whole_file
 from ..functions.session import materialize, shared_dir, shuffle_partitions
 from ..sources.graphs import table
 
-__all__ = ["WORD", "filesystem", "fresh", "make_dir", "materialize", "pylist", "rows_of", "shared_dir", "shuffle_partitions", "small_batches", "table", "text_rows", "whole_file"]
+__all__ = ["WORD", "filesystem", "fresh", "make_dir", "materialize", "pylist", "rows_of", "shared_dir", "shuffle_partitions", "small_batches", "small_side", "table", "text_rows", "whole_file"]
 
 #: A word: a run of bytes other than space and the ASCII controls 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -27,6 +27,12 @@ def fresh(docs: DataFrame, name: str) -> str:
     return name
 
 
+def small_side(df: DataFrame, name: str, most: int = 200_000) -> DataFrame:
+    """The written table, to be broadcast if it has at most so many rows (counted), else to be joined as Spark sees fit."""
+    df = materialize(df, name)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def text_rows(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, nulls of ``text`` read as the empty text; for operators that hand texts to Python."""
     small_batches(docs.sparkSession)

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, pylist, rows_of, table, text_rows
-from .tokens import encoder
+from .common import materialize, pylist, table, text_rows
+from .tokens import encoder, gathered
 
 #: Tails of a block.
 BLOCK = 1024
@@ -113,25 +113,24 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int =
         end = np.array([end_id], "<u4").tobytes()
         number, tails, out = TaskContext.get().partitionId() << 32, [], []
         held = 0
-        for batch in batches:
-            for part in rows_of(batch, 6 << 20):
-                for doc_id, raw in zip(pylist(part, "doc_id"), enc.encode(pylist(part, "text"))):
-                    raw = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
-                    total = len(raw) // 4
-                    for start in range(0, total - total % capacity, capacity):
-                        out.append((doc_id, start, capacity, total, raw[4 * start : 4 * (start + capacity)], number, 0))
-                        number += 1
-                    if total % capacity:
-                        start = total - total % capacity
-                        tails.append((doc_id, start, total, raw[4 * start :]))
-                    held += len(raw)
-                    if len(tails) >= block:
-                        made, number = _block(tails, capacity, number)
-                        yield made
-                        tails = []
-                    if held > 8 << 20 and out:
-                        yield _batch(out)
-                        out, held = [], 0
+        for part in gathered(batches):
+            for doc_id, raw in zip(pylist(part, "doc_id"), enc.encode(part.column("text"))):
+                raw = np.frombuffer(raw, enc.dtype).astype("<u4").tobytes() + end
+                total = len(raw) // 4
+                for start in range(0, total - total % capacity, capacity):
+                    out.append((doc_id, start, capacity, total, raw[4 * start : 4 * (start + capacity)], number, 0))
+                    number += 1
+                if total % capacity:
+                    start = total - total % capacity
+                    tails.append((doc_id, start, total, raw[4 * start :]))
+                held += len(raw)
+                if len(tails) >= block:
+                    made, number = _block(tails, capacity, number)
+                    yield made
+                    tails = []
+                if held > 8 << 20 and out:
+                    yield _batch(out)
+                    out, held = [], 0
         if out:
             yield _batch(out)
         if tails:

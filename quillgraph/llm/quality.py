@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, small_batches, table, text_rows, whole_file
+from .common import filesystem, make_dir, materialize, pylist, rows_of, shared_dir, small_batches, small_side, table, text_rows, whole_file
 
 ORDER = 5
 FENCE, CLASS_ROWS, BIN = 3.0, 100, 0.001
@@ -134,7 +134,7 @@ def build_model(docs: DataFrame, folder: str) -> None:
         found = rows.groupBy("lang").agg(*[F.greatest(F.count_if(F.col("n") == i), F.lit(1)).cast("double").alias(f"n{i}") for i in (1, 2, 3, 4)])
         y = F.col("n1") / (F.col("n1") + 2 * F.col("n2"))
         steps = [F.least(F.greatest(i - (i + 1) * y * F.col(f"n{i + 1}") / F.col(f"n{i}"), F.lit(0.1)), F.lit(i - 0.05)).alias(f"d{i}") for i in (1, 2, 3)]
-        found = F.broadcast(found.select("lang", *steps))  # a row a language
+        found = small_side(found.select("lang", *steps), "discounts")  # a row a language
         off = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
         rows = rows.join(found, "lang").withColumn("off", off).withColumn("context", F.shiftright("gram", 8))
         contexts = rows.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("off").alias("kept"))
@@ -293,7 +293,7 @@ def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
     bins = materialize(texts.groupBy(*by, "bin").agg(F.count("*").alias("n"), F.sum("copies").alias("rows")), "bins")
     sizes = bins.groupBy(*by).agg(F.sum("rows").alias("rows")).where(F.col("rows") >= CLASS_ROWS)
     # at most 1 / LEARNT texts a class
-    learnt = texts.join(F.broadcast(sizes), by).where(F.col("copies") >= LEARNT * F.col("rows")).select(*by, "quality_hash", F.lit(True).alias("quality_learnt"))
+    learnt = texts.join(small_side(sizes, "quality-sizes"), by).where(F.col("copies") >= LEARNT * F.col("rows")).select(*by, "quality_hash", F.lit(True).alias("quality_learnt"))
 
     def quartiles(t: DataFrame, *by: str) -> DataFrame:
         t = t.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
@@ -303,8 +303,9 @@ def judge(docs: DataFrame, keep: list[str], fence: float = FENCE) -> DataFrame:
 
     classes = quartiles(bins, *by).where(F.col("n") >= CLASS_ROWS).select(*by, F.struct("q1", "q3").alias("quality_own"))
     langs = quartiles(bins, "quality_lang").select("quality_lang", F.struct("q1", "q3").alias("quality_all"))
-    # a row a language and length class
-    rows = rows.join(F.broadcast(langs), "quality_lang", "left").join(F.broadcast(classes), by, "left").join(F.broadcast(learnt), [*by, "quality_hash"], "left")
+    # a row a language, or a language and length class
+    rows = rows.join(small_side(langs, "quality-langs"), "quality_lang", "left").join(small_side(classes, "quality-classes"), by, "left")
+    rows = rows.join(small_side(learnt, "quality-learnt"), [*by, "quality_hash"], "left")
     band = F.coalesce("quality_own", "quality_all")
     width = F.greatest(band["q3"] - band["q1"], F.lit(BIN)) * fence
     value = F.log("quality_bits")

@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import filesystem, make_dir, pylist, rows_of, shared_dir, shuffle_partitions, table, text_rows, whole_file
-from .tokens import encoder
+from .common import filesystem, make_dir, pylist, shared_dir, shuffle_partitions, table, text_rows, whole_file
+from .tokens import encoder, gathered
 
 MANIFEST = "shard int, dtype string, n_docs long, n_tokens long"
 
@@ -51,15 +51,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int,
         enc = encoder(tokenizer)
         end = np.array([end_id], enc.dtype).tobytes()
         with whole_file(f"{folder}/shard-{shard:06d}.bin") as out:
-            for batch in itertools.chain([first], batches):
-                for part in rows_of(batch, 6 << 20):
-                    for x in enc.encode(pylist(part, "text")):
-                        out.write(x)
-                        out.write(end)
-                        sizes.append(len(x) // enc.dtype.itemsize + 1)
-                    got = pylist(part, "doc_id")
-                    null += [x is None for x in got]
-                    ids += [x or 0 for x in got]
+            for part in gathered(itertools.chain([first], batches)):
+                for x in enc.encode(part.column("text")):
+                    out.write(x)
+                    out.write(end)
+                    sizes.append(len(x) // enc.dtype.itemsize + 1)
+                got = pylist(part, "doc_id")
+                null += [x is None for x in got]
+                ids += [x or 0 for x in got]
         offsets = np.concatenate([[0], np.cumsum(sizes)])
         with whole_file(f"{folder}/shard-{shard:06d}.idx") as out:
             for x in ([len(ids)], offsets, ids, null):
