@@ -406,30 +406,32 @@ def greedy_batches(spark, d):
 
 # -- walks -----------------------------------------------------------------------------------------------------
 
-_KEY = "'7|0|' || {w} || '|' || {k} || '|{p}'"
+def _u(k: str, p: str) -> str:
+    return rng.u32_sql(f"'7|' || round || '|' || walker || '|' || {k} || '|{p}'")
 
 
-def _u(w: str, k: str, p: str) -> str:
-    return rng.u32_sql(_KEY.format(w=w, k=k, p=p))
+#: Of each vertex its neighbours with the chance to move there, and in the first step all but itself.
+_ADJACENCY = """dacc as (select a.id as src, b.id as dst, accept from acc join ids a on acc.src = a.v join ids b on acc.dst = b.v),
+adj as (select src, list({'dst': dst, 'accept': accept} order by dst) as nbrs from dacc group by src),
+first_adj as (select src, list({'dst': dst, 'accept': accept} order by dst) as nbrs from dacc where src <> dst group by src)"""
 
 
-def _walk_sql(bound: float = walk.CORR_BOUND, draws: int = walk.MAX_DRAWS) -> str:
-    return f"""with recursive {ACCEPT_SQL}, ids as (select v, row_number() over (order by v) - 1 as id from deg),
-dacc as (select a.id as src, b.id as dst, accept from acc join ids a on acc.src = a.v join ids b on acc.dst = b.v),
-adj as (select src, list({{'dst': dst, 'accept': accept}} order by dst) as nbrs from dacc group by src),
-draws(walker, k, cur, cand, rejected) as (
-  select src, 0, src, nbrs[1 + {_u('src', '0', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('src', '0', 'n')} % len(nbrs)].accept <= {_u('src', '0', 'a')} / 4294967296.0::double from adj
+def _walk_sql(bound: float = walk.CORR_BOUND, draws: int = walk.MAX_DRAWS, graph: str = ACCEPT_SQL, starts: str = "select 0 as round, id as walker, id as cur from ids") -> str:
+    return f"""with recursive {graph}, ids as (select v, row_number() over (order by v) - 1 as id from deg), {_ADJACENCY},
+starts as ({starts}),
+draws(round, walker, k, cur, cand, rejected) as (
+  select round, walker, 0, cur, nbrs[1 + {_u('0', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('0', 'n')} % len(nbrs)].accept <= {_u('0', 'a')} / 4294967296.0::double from starts join first_adj on src = cur
   union all
-  select walker, k + 1, src, nbrs[1 + {_u('walker', '(k + 1)', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('walker', '(k + 1)', 'n')} % len(nbrs)].accept <= {_u('walker', '(k + 1)', 'a')} / 4294967296.0::double
+  select round, walker, k + 1, src, nbrs[1 + {_u('(k + 1)', 'n')} % len(nbrs)].dst, nbrs[1 + {_u('(k + 1)', 'n')} % len(nbrs)].accept <= {_u('(k + 1)', 'a')} / 4294967296.0::double
   from draws join adj on adj.src = case when rejected then cur else cand end where k + 1 < {draws}),
-halves as (select distinct walker, -1 as k, 0 as half, walker as vertex from draws union all select walker, k, 0, cand from draws union all select walker, k, 1, cur from draws where rejected),
-steps as (select walker, row_number() over (partition by walker order by k, half) - 1 as step, vertex from halves),
-freq as (select *, cast(row_number() over (partition by walker, vertex order by step) as double) as f, cast(step + 1 as double) as n from steps),
-ent as (select *, log2(n) - sum(f * log2(f) - case when f > 1 then (f - 1) * log2(f - 1) else 0 end) over (partition by walker order by step) / n as h from freq),
-cor as (select *, corr(round(h, 12), n) over (partition by walker order by step) as c from ent),
+halves as (select round, walker, -1 as k, 0 as half, cur as vertex from starts union all select round, walker, k, 0, cand from draws union all select round, walker, k, 1, cur from draws where rejected),
+steps as (select round, walker, row_number() over (partition by round, walker order by k, half) - 1 as step, vertex, max(k) over (partition by round, walker) = {draws} - 1 as spent from halves),
+freq as (select *, cast(row_number() over (partition by round, walker, vertex order by step) as double) as f, cast(step + 1 as double) as n from steps),
+ent as (select *, log2(n) - sum(f * log2(f) - case when f > 1 then (f - 1) * log2(f - 1) else 0 end) over (partition by round, walker order by step) / n as h from freq),
+cor as (select *, corr(round(h, 12), n) over (partition by round, walker order by step) as c from ent),
 rr as (select *, case when step = 0 then 1.0::double when c is null or isnan(c) then 0.0::double else c end as r from cor),
-ends as (select walker, min(step) as stop from rr where step > {walk.MIN_STEPS} and (r * r < {bound} or r < 0) group by walker),
-vis as (select rr.walker, step, vertex, h, r, stop is null as capped from rr left join ends on rr.walker = ends.walker where stop is null or step <= stop)"""
+ends as (select round, walker, min(step) as stop from rr where step > {walk.MIN_STEPS} and (r * r < {bound} or r < 0) group by round, walker),
+vis as (select round, walker, step, vertex, h, r, stop is null and spent as capped from rr left join ends using (round, walker) where stop is null or step <= stop)"""
 
 
 WALK_SQL = _walk_sql()
@@ -525,11 +527,42 @@ def relative_entropy(spark, d):
     return walk.relative_entropy(edges.to_undirected(g), materialize(walk.visit_counts(seen), "counts")).select(F.round("d", 9).alias("d"))
 
 
-@query()
+#: The first rounds; the walk stops at the one that moves the relative entropy by at most the tolerance.
+_ROUNDS = 6
+ROUNDS_SQL = _walk_sql(starts=f"""select r.range as round, w.range as walker, w.range % n as cur from (select count(*) as n from ids), range({_ROUNDS}) r,
+  range((select count(*) from ids) * {walk.INIT_ROUNDS}) w where r.range = 0 or w.range < n""") + f""", cum as (select r.range as round, vertex as v, count(*) as cn from range({_ROUNDS}) r join vis on vis.round <= r.range group by all),
+p as (select id, degree / sum(degree) over () as p from deg join ids using (v)), q as (select round, v, cn, cn / sum(cn) over (partition by round) as q from cum),
+each as (select round, sum(p * (ln(p) - ln(q))) as d, sum(cn) as visits from p join q on p.id = q.v group by round),
+moved as (select *, abs(d - lag(d, 1, 0.0::double) over (order by round)) <= {walk.KL_STEP} as settled from each)
+select cast(round as int) as round, round(d, 9) as d, cast(visits as bigint) as visits from moved where round <= (select min(round) from moved where settled)"""
+
+
+@query(ROUNDS_SQL)
 def round_driver(spark, d):
     g, ids = dense(spark, d)
     n = ids.count()
-    return walk.rounds(spark, edges.to_undirected(g), acceptance(spark, d), n, n)
+    return walk.rounds(spark, edges.to_undirected(g), acceptance(spark, d), n, n).withColumn("d", F.round("d", 9))
+
+
+#: The succession graph once given, with its self-loops: their two rows count for the degree, and no loop is a common neighbour.
+LOOPS_SQL = f"""{SUCCESSION_SQL}, co as (select distinct least(src, dst) as src, greatest(src, dst) as dst from succ),
+und as (select src, dst from co union all select dst, src from co), deg as (select src as v, count(*) as degree from und group by src),
+plain as (select * from und where src <> dst),
+cn as (select src, dst, count(other) as cn from co left join (select a.src as x, b.src as y, a.dst as other from plain a join plain b on a.dst = b.dst) on src = x and dst = y group by src, dst),
+both_cn as (select src, dst, cn from cn union all select dst, src, cn from cn),
+acc as (select e.src, e.dst, e.cn, case when a.degree = e.cn then 1.0::double else tanh((greatest(a.degree, b.degree) / least(a.degree, b.degree)) / (a.degree - e.cn)) end as accept
+  from both_cn e join deg a on e.src = a.v join deg b on e.dst = b.v)"""
+
+
+@query(f"{_walk_sql(graph=LOOPS_SQL)} select walker, cast(step as int) as step, vertex, capped from vis")
+def loop_walk(spark, d):
+    """The walk on a graph with self-loops, which its first step leaves out."""
+    given = graphs.succession(spark, d).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    g = materialize(given, "loops")
+    ids = materialize(edges.dense_ids(g), "ids")
+    n = ids.count()
+    chances = edges.accept_chances(materialize(edges.relabel(g, ids), "dense"))
+    return walk.entropy_walk(walk.init_walkers(spark, n, n), chances).select("walker", "step", "vertex", "capped")
 
 
 @query(f"{WALK_SQL} select walker, count(*) filter (rejected) as backs from draws group by walker")
@@ -890,6 +923,18 @@ def linkpred_auc(spark, d):
     return linkpred.auc(pairs.join(a, "src").join(b, "dst").select("label", score.alias("score"))).select(F.round("auc", 6).alias("auc"))
 
 
+@query("""with p as (select a.vec_id as v, b.vec_id as other, a.label = b.label as same, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 9) as c from embeddings a join embeddings b on a.vec_id <> b.vec_id),
+n as (select same, round(c, 6) as score from (select *, row_number() over (partition by v order by c desc, other) as n from p) where n <= 5),
+r as (select same, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2 as mid from n)
+select round((sum(mid) filter (same) - count(*) filter (same) * (count(*) filter (same) + 1) / 2) / (count(*) filter (same) * count(*) filter (not same)), 6) as auc from r""")
+def auc_of_neighbours(spark, d):
+    """How well the cosine of neighbours tells those of the same label, ties at their mid-ranks."""
+    near = nearest_neighbours(spark, d)
+    kinds = graphs.table(spark, d, "embeddings").select(F.col("vec_id").alias("v"), F.col("label").alias("own"))
+    met = near.join(kinds, "v").join(kinds.select(F.col("v").alias("other"), F.col("own").alias("its")), "other")
+    return linkpred.auc(met.select((F.col("own") == F.col("its")).cast("int").alias("label"), F.col("cosine").alias("score"))).select(F.round("auc", 6).alias("auc"))
+
+
 # -- sources and sinks -------------------------------------------------------------------------------------------
 
 
