@@ -28,3 +28,14 @@ def keep_chance(count: Column, total: Column, sample: float) -> Column:
 def sigmoid(x: Column, clip: float = 6.0) -> Column:
     """Logistic function, saturated outside the clip."""
     return F.when(x > clip, 1.0).when(x < -clip, 0.0).otherwise(1 / (1 + F.exp(-x)))
+
+
+def trailing_zeros(x: Column) -> Column:
+    """Zero bits below the lowest one of a long; 64 for zero."""
+    return F.bit_count(x.bitwiseAND(-x) - 1)
+
+
+def word_hash(word: Column, size: int) -> Column:
+    """Polynomial hash of a word's characters (base 257, in 32 bits) below ``size``."""
+    codes = F.transform(F.filter(F.split(word, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    return F.pmod(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: (h * 257 + c).bitwiseAND(F.lit((1 << 32) - 1))), F.lit(size))

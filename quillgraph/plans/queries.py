@@ -231,14 +231,16 @@ def process_edges(spark, d):
 # -- scalar functions ------------------------------------------------------------------------------------------
 
 
-@query("""with x as (select o_orderkey as id, o_totalprice / 100000 as x from orders)
+@query("""with x as (select o_orderkey as id, o_totalprice / 100000 as x, o_orderpriority as word from orders)
 select id, round(tanh(x), 9) as a, round(log2(x), 9) as b, round(ln(x), 9) as c, round(pow(x, 0.75), 9) as e, round(sqrt(x), 9) as f,
   greatest(x, 1.0::double) as g, least(x, 1.0::double) as h, id % 7 as i,
-  round(case when x > 6 then 1.0 when x < -6 then 0.0 else 1 / (1 + exp(-x)) end, 9) as j, ('0x' || substr(md5('7|' || id), 1, 8))::bigint as u from x""")
+  round(case when x > 6 then 1.0 when x < -6 then 0.0 else 1 / (1 + exp(-x)) end, 9) as j, ('0x' || substr(md5('7|' || id), 1, 8))::bigint as u,
+  abs(round(x - 2, 9)) as k, cast(bit_count((id & -id) - 1) as int) as l, list_reduce(list_transform(string_split(word, ''), lambda c: ascii(c)::bigint), lambda h, c: (h * 257 + c) & 4294967295, 0::bigint) % 30000000 as m from x""")
 def scalar_functions(spark, d):
     x = F.col("x")
-    t = graphs.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("x"))
-    return t.select("id", F.round(F.tanh(x), 9).alias("a"), F.round(F.log2(x), 9).alias("b"), F.round(F.ln(x), 9).alias("c"), F.round(F.pow(x, F.lit(0.75)), 9).alias("e"), F.round(F.sqrt(x), 9).alias("f"), F.greatest(x, F.lit(1.0)).alias("g"), F.least(x, F.lit(1.0)).alias("h"), F.pmod("id", F.lit(7)).alias("i"), F.round(columns.sigmoid(x), 9).alias("j"), rng.u32(7, F.col("id")).alias("u"))
+    t = graphs.table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_totalprice") / 100000).alias("x"), F.col("o_orderpriority").alias("word"))
+    more = [F.abs(F.round(x - 2, 9)).alias("k"), columns.trailing_zeros(F.col("id")).alias("l"), columns.word_hash(F.col("word"), 30_000_000).alias("m")]
+    return t.select("id", F.round(F.tanh(x), 9).alias("a"), F.round(F.log2(x), 9).alias("b"), F.round(F.ln(x), 9).alias("c"), F.round(F.pow(x, F.lit(0.75)), 9).alias("e"), F.round(F.sqrt(x), 9).alias("f"), F.greatest(x, F.lit(1.0)).alias("g"), F.least(x, F.lit(1.0)).alias("h"), F.pmod("id", F.lit(7)).alias("i"), F.round(columns.sigmoid(x), 9).alias("j"), rng.u32(7, F.col("id")).alias("u"), *more)
 
 
 # -- partitions ------------------------------------------------------------------------------------------------
