@@ -109,7 +109,8 @@ def common_neighbours(edges: DataFrame) -> DataFrame:
     rising = materialize(rising, "rising")
     lists = materialize(rising.groupBy("a").agg(F.collect_list("b").alias("up")), "up")
     met = rising.join(lists, "a").join(lists.select(F.col("a").alias("b"), F.col("up").alias("top")), "b")
-    third = met.select("a", "b", F.array_intersect("up", "top").alias("c")).where(F.size("c") > 0)
+    # made by a generator, so that what reads c does not intersect again
+    third = met.select("a", "b", F.explode(F.array(F.array_intersect("up", "top"))).alias("c")).where(F.size("c") > 0)
 
     def side(x: str):
         return F.transform("c", lambda c: F.struct(F.least(F.col(x), c).alias("x"), F.greatest(F.col(x), c).alias("y"), F.lit(1).cast("long").alias("n")))
