@@ -1,6 +1,7 @@
 """The pipeline operators against plain Python on small tables with nulls, empty and long texts, ties, copies and extra columns."""
 
 import base64
+import functools
 import hashlib
 import random
 import re
@@ -63,11 +64,16 @@ def key(x):
     return (x is not None, x or 0)
 
 
-def plain_ids(path, text):
+@functools.cache
+def library(path):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(path)
-    return t.encode(text or "", add_special_tokens=False).ids + [2]
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(100_000)
+def plain_ids(path, text):
+    return library(path).encode(text or "", add_special_tokens=False).ids + [2]
 
 
 def crc(ids):
