@@ -184,9 +184,13 @@ def _store(name: str):
     return store
 
 
-def _flat(uri: str, kind: type) -> np.ndarray:
+#: Entries of an array that is read whole if it lies in several files.
+WHOLE = 1 << 22
+
+
+def _flat(uri: str, kind: type, mapped: bool = True) -> np.ndarray:
     fs, path = filesystem(uri)
-    if fs.type_name == "local":
+    if mapped and fs.type_name == "local":
         return np.memmap(path, kind, "r")
     with fs.open_input_file(path) as f:
         return np.frombuffer(f.read(), kind)
@@ -197,8 +201,12 @@ class Sorted:
 
     def __init__(self, files: list[tuple], kind: type):
         files = sorted(files, key=lambda f: f[2])
-        self.first = np.array([f[2] for f in files], np.int64)
-        self.ranges = [(_flat(f"{file}.key", kind), _flat(f"{file}.value", np.float32)) for file, _, _ in files]
+        if 1 < len(files) and sum(rows for _, rows, _ in files) <= WHOLE:  # a few MB: one array instead of many maps
+            keys, values = (np.concatenate([_flat(f"{file}.{end}", t, False) for file, _, _ in files]) for end, t in (("key", kind), ("value", np.float32)))
+            self.first, self.ranges = np.array([files[0][2]], np.int64), [(keys, values)]
+        else:
+            self.first = np.array([f[2] for f in files], np.int64)
+            self.ranges = [(_flat(f"{file}.key", kind), _flat(f"{file}.value", np.float32)) for file, _, _ in files]
         self.kind = kind
 
     def __len__(self) -> int:
