@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from .common import rows_of
 
 #: Bytes of text of a batch: the more, the fewer pieces are encoded again.
-BATCH = 16 << 20
+BATCH = 6 << 20
 #: Plain words of a call.
 CALL = 512
 _ODD = re.compile(r"[^\S\n ]|.\n", re.S).search
