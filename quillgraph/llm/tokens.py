@@ -164,6 +164,8 @@ class Encoder:
         texts = texts.cast(pa.large_string()) if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string())
         if self.cut is None:
             return self._ids(texts.to_pylist())
+        # a copy of its own: of a slice, Arrow's ascii_lower keeps the offsets of the whole, which lie beyond the bytes it makes
+        texts = texts.take(pa.array(np.arange(len(texts))))
         raw = texts.buffers()[2]
         raw = raw.to_pybytes() if raw else b""
         if not self.always and not any(raw.find(x) >= 0 for x in self.signs):

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -99,6 +100,21 @@ def test_encoder_equals_library(rows, path, specials):
     assert enc.encode([]) == [] and enc.encode(["", ""]) == [b"", b""]
 
 
+@pytest.mark.parametrize("path", [BYTE, WORDS])
+def test_encoder_takes_slices(path):
+    """Texts that begin in the middle of a larger array, as a batch's rows beyond a cut do."""
+    texts = ["Long text, Ä é, before the cut. " * 50, "Ça va, É?", "", "Ein Wort; ß", "x\n\ny Ç"]
+    enc = tokens.Encoder(path)
+    for kind in (pa.string(), pa.large_string()):
+        whole = pa.array(texts, kind)
+        for a in range(len(texts)):
+            got = enc.encode(whole.slice(a))
+            assert [np.frombuffer(x, enc.dtype).tolist() + [2] for x in got] == [plain_ids(path, x) for x in texts[a:]]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+    parts = [x for part in tokens.gathered([batch], 700) for x in enc.encode(part.column("text"))]
+    assert [np.frombuffer(x, enc.dtype).tolist() + [2] for x in parts] == [plain_ids(path, x) for x in texts]
+
+
 def test_token_files(spark, docs, rows, none):
     folder = shared_dir(spark, "tokens")
     manifest = token_files.write_token_files(docs, folder, BYTE, 2)
