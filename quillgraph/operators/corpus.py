@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import keep_chance
 from ..functions.rng import u32, uniform
 from ..functions.session import grouped_running, numbered, running_sum
+from .flat import column_file, mapped
 
 POWER, LONGEST = 0.75, 1000
 
@@ -38,8 +41,29 @@ def unigram_cdf(ranked: DataFrame, power: float = POWER) -> DataFrame:
 def negative_draws(cdf: DataFrame, draws: int, salt: int = 7) -> DataFrame:
     """cdf(rank, cdf) -> id, rank: ``draws`` ranks of the distribution by the portable hash; rank 0 is replaced by a uniform one of the others.
 
-    A draw meets the ranks of its bucket of equal share, of which there are as many as ranks.
+    Draws are looked up in a flat file of the distribution, where they are made; without such a file they are joined.
     """
+    file = column_file(cdf, "rank", "cdf", "<f8")
+    if file is None:
+        return negative_draws_joined(cdf, draws, salt)
+    n = cdf.count()
+
+    def run(batches):
+        upto = np.array(mapped(file, "<f8"))
+        for batch in batches:
+            id_, x, other = (batch.column(c).to_numpy() for c in ("id", "x", "other"))
+            rank = np.searchsorted(upto, x)
+            met = rank < n
+            rank = np.where((rank == 0) & (n > 1), other, rank)
+            yield pa.RecordBatch.from_arrays([pa.array(id_[met]), pa.array(rank[met])], ["id", "rank"])
+
+    other = 1 + F.pmod(u32(salt, F.col("id"), "zero"), F.lit(max(n - 1, 1)))
+    drawn = cdf.sparkSession.range(draws).select("id", uniform(salt, F.col("id"), "neg").alias("x"), other.cast("long").alias("other"))
+    return drawn.mapInArrow(run, "id long, rank long")
+
+
+def negative_draws_joined(cdf: DataFrame, draws: int, salt: int = 7) -> DataFrame:
+    """The same by a join: a draw meets the ranks of its bucket of equal share, of which there are as many as ranks."""
     spark = cdf.sparkSession
     n = cdf.count()
     before = F.lag("cdf").over(Window.partitionBy("near").orderBy("rank"))

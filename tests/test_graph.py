@@ -413,3 +413,13 @@ def test_dense_graph_is_made_without_joins(spark, tmp_path, monkeypatch):
     none = spark.createDataFrame([], "l_orderkey long, l_partkey long")
     none.write.parquet(f"{tmp_path}/none/lineitem.parquet")
     assert graphs.co_purchase_written(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_negative_draws_are_looked_up(spark, monkeypatch):
+    ranked = spark.createDataFrame([(10 + i, 40 - i, i) for i in range(30)], "v long, cn long, rank long")
+    cdf = corpus.unigram_cdf(ranked)
+    want = sorted(map(tuple, corpus.negative_draws_joined(cdf, 2000).collect()))
+    monkeypatch.setattr(corpus, "negative_draws_joined", lambda *_: pytest.fail("joined"))
+    got = corpus.negative_draws(cdf, 2000)
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 2000
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
